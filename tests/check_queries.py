@@ -1,0 +1,71 @@
+"""Run every query next to its SQL on the test tables: python tests/check_queries.py [sf] [name ...]"""
+
+from __future__ import annotations
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from __spark_entry__ import oracle_sql, queries  # noqa: E402
+
+TABLES = ["documents", "conversations"]
+
+
+def normalised(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame[sorted(frame.columns)]
+    return frame.sort_values(list(frame.columns)).reset_index(drop=True)
+
+
+def connection(sf: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for table in TABLES:
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    return con
+
+
+def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> str:
+    if sorted(ours.columns) != sorted(theirs.columns):
+        return f"columns {sorted(ours.columns)} / {sorted(theirs.columns)}"
+    if len(ours) != len(theirs):
+        return f"rows {len(ours)} / {len(theirs)}"
+    a, b = normalised(ours), normalised(theirs)
+    for name in a.columns:
+        if str(a[name].dtype) != str(b[name].dtype):
+            return f"type of {name}: {a[name].dtype} / {b[name].dtype}"
+        same = (a[name] == b[name]) | (a[name].isna() & b[name].isna())
+        if not same.all():
+            at = (~same).idxmax()
+            return f"{(~same).sum()} values of {name}, first {a[name][at]!r} / {b[name][at]!r}"
+    return "ok"
+
+
+def main() -> None:
+    sf = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
+    names = sys.argv[2:] or list(queries())
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "8g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .getOrCreate()
+    )
+    con, oracles = connection(sf), oracle_sql()
+    for name in names:
+        start = time.time()
+        ours = queries()[name](spark, sf).toPandas()
+        seconds = time.time() - start
+        start = time.time()
+        verdict = compare(ours, con.sql(oracles[name]).df()) if name in oracles else "no SQL"
+        print(f"{name:24} {len(ours):9} rows {seconds:7.1f} s  SQL {time.time() - start:6.1f} s  {verdict}", flush=True)
+
+
+if __name__ == "__main__":
+    main()
