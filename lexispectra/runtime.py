@@ -50,6 +50,16 @@ def read_staged(spark: SparkSession, schema: StructType | str, paths: list[str])
     return spark.read.schema(schema).parquet(*paths)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete the staged tables that ``df`` reads; only for tables nothing else will read."""
+    spark = df.sparkSession
+    root = stage_root(spark).split("://")[-1].removeprefix("file:")
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder.rsplit("/", 1)[0].endswith(root):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one split per core.
 

@@ -104,3 +104,16 @@ def test_stage_needs_a_shared_folder(spark, monkeypatch):
     root = runtime.stage_root(spark)
     assert root == spark.conf.get("spark.checkpoint.dir")
     assert runtime.stage(spark.range(5).select(F.col("id")), "numbers").count() == 5
+
+
+def test_staged_tables_can_be_dropped(spark, tmp_path):
+    from lexispectra import runtime
+
+    kept, gone = (runtime.write_staged(spark.range(3), n) for n in ("kept", "gone"))
+    runtime.drop_staged(runtime.read_staged(spark, "id BIGINT", [gone]))
+    assert runtime.read_staged(spark, "id BIGINT", [kept]).count() == 3
+    with pytest.raises(Exception, match="gone"):
+        spark.read.parquet(gone)
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    runtime.drop_staged(spark.read.parquet(str(tmp_path / "other")))
+    assert spark.read.parquet(str(tmp_path / "other")).count() == 3
