@@ -159,18 +159,45 @@ def window_pairs(coded: DataFrame, window: int, carry: Sequence[str] = ()) -> Da
     return coded.select("line_id", "pos", "id", *carry).mapInArrow(pair, schema)
 
 
-def _cell_keys(step: _Step, distance: int, symmetric: bool) -> np.ndarray:
-    """(row, col) of the pairs at one distance, packed into one integer each."""
-    ids = step.column("id").astype(np.int64)
-    left, right = step.pairs(distance)
-    a, b = ids[left], ids[right]
-    if symmetric:
-        a, b = np.minimum(a, b), np.maximum(a, b)
-    return (a << 32) | b
+def _packed_pairs(step: _Step, window: int, symmetric: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (row, col, distance) of a step's pairs in rising order, and how often each occurs.
 
-
-def _unpack(keys: np.ndarray) -> list[pa.Array]:
-    return [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0x7FFFFFFF).astype(np.int32))]
+    The three numbers share one 64-bit integer, so that a plain sort groups them.
+    """
+    ids, names = step.column("id").astype(np.int64), None
+    low, wide = window.bit_length(), int(ids.max()).bit_length()
+    if 2 * wide + low > 63:
+        # Number the words of this step instead; there are few enough.
+        names, ids = np.unique(ids, return_inverse=True)
+        wide = len(names).bit_length()
+    line = step.column("line_id")
+    found = []
+    for d in range(1, window + 1):
+        first = max(step.seen, d)
+        left, right = slice(first - d, max(len(line) - d, 0)), slice(first, None)
+        same = line[left] == line[right]
+        a, b = ids[left][same], ids[right][same]
+        if symmetric:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        found.append((((a << wide) | b) << low) | d)
+    packed = np.concatenate(found)
+    packed.sort()
+    starts = _run_starts(packed)
+    n = np.diff(np.append(starts, len(packed)))
+    packed = packed[starts]
+    row, col, distance = packed >> (wide + low), (packed >> low) & ((1 << wide) - 1), packed & ((1 << low) - 1)
+    if names is not None:
+        row, col = names[row], names[col]
+    return row, col, distance, n
+
+
+def _run_starts(*ordered: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    new = np.zeros(len(ordered[0]), bool)
+    new[:1] = True
+    for column in ordered:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
 
 
 def pair_units(coded: DataFrame, window: int, units: Units, symmetric: bool) -> DataFrame:
@@ -179,19 +206,16 @@ def pair_units(coded: DataFrame, window: int, units: Units, symmetric: bool) ->
     ``row`` is the left word. In the symmetric form both orders of a pair count
     as one with the smaller id as ``row``, which halves what is shuffled next.
     """
+    worth = np.array([0, *units.per_distance], np.int64)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in _steps(batches, window):
-            found = [np.unique(_cell_keys(step, d, symmetric), return_counts=True) for d in range(1, window + 1)]
-            keys = np.concatenate([k for k, _ in found])
-            if not len(keys):
-                continue
-            value = np.concatenate([n * u for (_, n), u in zip(found, units.per_distance)])
-            order = np.argsort(keys)
-            keys = keys[order]
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            total = np.add.reduceat(value[order], starts)
-            yield pa.RecordBatch.from_arrays([*_unpack(keys[starts]), pa.array(total)], ["row", "col", "units"])
+            row, col, distance, n = _packed_pairs(step, window, symmetric)
+            if len(row):
+                starts = _run_starts(row, col)
+                total = np.add.reduceat(worth[distance] * n, starts)
+                cells = [row[starts].astype(np.int32), col[starts].astype(np.int32), total]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["row", "col", "units"])
 
     return coded.select("line_id", "pos", "id").mapInArrow(combine, "row INT, col INT, units BIGINT")
 
@@ -201,9 +225,8 @@ def pair_counts(coded: DataFrame, window: int, symmetric: bool) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in _steps(batches, window):
-            for d in range(1, window + 1):
-                keys, n = np.unique(_cell_keys(step, d, symmetric), return_counts=True)
-                columns = [*_unpack(keys), pa.array(np.full(len(keys), d, np.int32)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "col", "distance", "n"])
+            row, col, distance, n = _packed_pairs(step, window, symmetric)
+            cells = [*(c.astype(np.int32) for c in (row, col, distance)), n.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["row", "col", "distance", "n"])
 
     return coded.select("line_id", "pos", "id").mapInArrow(combine, "row INT, col INT, distance INT, n BIGINT")

@@ -102,3 +102,13 @@ def test_merge_of_halves_is_the_whole(lines, vocab):
     words = vocab(sorted(ids, key=ids.get))
     halves = [count_cooccurrence(lines(part), words, 5) for part in (texts[:20], texts[20:])]
     assert cells(merge_cooccurrence(*halves)) == pytest.approx(cells(count_cooccurrence(lines(texts), words, 5)))
+
+
+@pytest.mark.parametrize("weighting", [1, 4])
+def test_ids_up_to_the_largest_integer(lines, spark, weighting):
+    texts = naive.corpus(12, lines=10)
+    order = naive.vocabulary(texts, 2)
+    ids = {w: 2**31 - 1 - i * 1_000_003 for w, i in order.items()}
+    words = spark.createDataFrame([(i, w) for w, i in ids.items()], "id INT, word STRING")
+    found = cells(count_cooccurrence(lines(texts), words, 5, weighting))
+    assert found == pytest.approx(naive.cooccurrence(texts, ids, 5, weighting, True))
