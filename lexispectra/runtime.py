@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -60,6 +61,14 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Hadoop-style path or a plain absolute one, for the driver and the tasks alike."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.FileSystem.from_uri("/" + (rest if colon else path).lstrip("/"))
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one split per core.
 
