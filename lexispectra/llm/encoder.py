@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
@@ -30,10 +29,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self._key = path, end, spaced
         self._library = Tokenizer.from_file(path)
         self._end, self._spaced = end, spaced
         self._forget()
 
+    def __reduce__(self) -> tuple:
+        return Encoder, self._key
+
     def _forget(self) -> None:
         self._number: dict[str | None, int] = {None: 0}
         self._ids, self._starts = array("I", [self._end]), array("q", [0, 1])
@@ -70,10 +73,15 @@ class Encoder:
         return ids, before[ends]
 
 
-@lru_cache(2)
+_encoders: dict[tuple, Encoder] = {}
+
+
 def encoder(path: str, end: int, spaced: bool) -> Encoder:
-    """One encoder for each Python worker, which keeps what it has learnt."""
-    return Encoder(path, end, spaced)
+    """One encoder for all batches of a task, which keeps what it has learnt."""
+    key = path, end, spaced
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def tokenizer_path(name: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispectra.llm import packing, quality
+from lexispectra.llm import packing, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_token_planes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.tokens_round_trip(_table(spark, sf_dir, "documents"))
