@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispectra.llm import packing, quality, tokenfile
+from lexispectra.llm import oracles, packing, quality, tokenfile, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_token_planes")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.tokens_round_trip(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_warc_zstd", oracles.warc())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.warc_round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op7_url_filter", oracles.url_filter())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")

@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col:
         encode = encoder(tokenizer_path(tokenizer), end, spaced).encode
         store, _ = file_system(folder)
         name = f"{root}/{uuid.uuid4().hex}.planes"
-        with store.open_output_stream(name) as out:
+        with store.open_output_stream(name, compression=None) as out:
             writer = Writer(out, planes)
             for batch in batches:
                 for part in (batch.slice(i, _TEXTS) for i in range(0, batch.num_rows, _TEXTS)):
