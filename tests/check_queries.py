@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -14,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 
-TABLES = ["documents", "conversations"]
+TABLES = ["documents", "conversations", "pages", "benchmark", "labels"]
 
 
 def normalised(frame: pd.DataFrame) -> pd.DataFrame:
@@ -55,6 +56,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="check-queries-"))
         .getOrCreate()
     )
     con, oracles = connection(sf), oracle_sql()
