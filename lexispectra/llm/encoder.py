@@ -4,33 +4,47 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
+from itertools import repeat
+from types import ModuleType
 
 import numpy as np
 
-#: Chunks remembered by a task before it starts anew; bounds its memory.
-REMEMBERED = 400_000
+#: Chunks that a worker process remembers before it starts anew; bounds its memory.
+REMEMBERED = 600_000
 # Where the library itself may cut differently from white space: separators that
 # only Python counts as white space, and strings of special tokens.
 _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SPACED = re.compile(rf" ?[{_LETTERS}]+(?=[,.!?;:\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(rf"[{_LETTERS}]+(?=[,.!?;:\s]|\Z)|\S+")
+# Chunks that the library's own rules leave in one piece and do not change.
+_SPACED_LETTERS = re.compile(rf" ?[{_LETTERS}]+")
+_SMALL_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file and appends ``end`` to each.
-
-    Both kinds of file cut a text at white space before they look for merges, so
-    the ids of a text are those of its chunks in order. ``spaced`` is for files
-    that keep a space with the word after it (byte-level BPE); the others drop white
-    space. Texts for which that need not hold are encoded whole.
+    """Encodes texts with one byte-level BPE file and appends ``end`` to each.
+
+    Such a file cuts a text at white space, and a run of letters before punctuation,
+    before it looks for merges, so the ids of a text are those of its chunks in
+    order. ``spaced`` is for files that keep a space with the word after it; the
+    others drop white space and case, and get ASCII capitals in lower case. Chunks
+    of letters alone skip the file's normaliser and pattern, which leave
+    them as they are. Texts for which any of this need not hold are encoded whole.
     """
 
     def __init__(self, path: str, end: int, spaced: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._key = path, end, spaced
         self._library = Tokenizer.from_file(path)
+        self._letters = Tokenizer.from_file(path)
+        self._letters.normalizer = None
+        self._letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._letters.model._resize_cache(0)  # we remember chunks ourselves
         self._end, self._spaced = end, spaced
         self._forget()
 
@@ -41,11 +55,19 @@ class Encoder:
         self._number: dict[str | None, int] = {None: 0}
         self._ids, self._starts = array("I", [self._end]), array("q", [0, 1])
 
-    def _learn(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self._library.encode_batch_fast(chunks, add_special_tokens=False)):
-            self._number[chunk] = len(self._number)
-            self._ids.extend(found.ids)
-            self._starts.append(len(self._ids))
+    def _learn(self, chunks: set[str]) -> None:
+        simple = (_SPACED_LETTERS if self._spaced else _SMALL_LETTERS).fullmatch
+        letters = {c for c in chunks if simple(c)}
+        for library, some in ((self._letters, sorted(letters)), (self._library, sorted(chunks - letters))):
+            for chunk, found in zip(some, library.encode_batch_fast(some, add_special_tokens=False)):
+                self._number[chunk] = len(self._number)
+                self._ids.extend(found.ids)
+                self._starts.append(len(self._ids))
+
+    def _chunks(self, text: str) -> list[str]:
+        if _WHOLE.search(text):
+            return [text]
+        return _SPACED.findall(text) if self._spaced else _PLAIN.findall(text.encode().lower().decode())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text begins and ends among them; a null is an empty text."""
@@ -55,14 +77,14 @@ class Encoder:
         ends = [0]
         for text in texts:
             if text:
-                if _WHOLE.search(text):
-                    chunks.append(text)
-                else:
-                    chunks += _SPACED.findall(text) if self._spaced else text.split()
+                chunks += self._chunks(text)
             chunks.append(None)
             ends.append(len(chunks))
-        self._learn(sorted(set(chunks) - self._number.keys()))
-        number = np.fromiter(map(self._number.__getitem__, chunks), np.int64, len(chunks))
+        number = np.fromiter(map(self._number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(number < 0)
+        new = [chunks[i] for i in unknown.tolist()]
+        self._learn(set(new))
+        number[unknown] = [self._number[c] for c in new]
         starts = np.frombuffer(self._starts, np.int64)
         lengths = np.diff(starts)[number]
         before = np.zeros(len(number) + 1, np.int64)
@@ -73,15 +95,19 @@ class Encoder:
         return ids, before[ends]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, end: int, spaced: bool) -> Encoder:
-    """One encoder for all batches of a task, which keeps what it has learnt."""
+    """One encoder for each worker process, which keeps what it has learnt.
+
+    Task functions travel by value, so a variable of this module would live for
+    one task only; the interpreter's table of modules outlives it.
+    """
+    kept = sys.modules.setdefault("_lexispectra_encoders", ModuleType("_lexispectra_encoders"))
+    if not hasattr(kept, "encoders"):
+        kept.encoders = {}
     key = path, end, spaced
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    if key not in kept.encoders:
+        kept.encoders[key] = Encoder(*key)
+    return kept.encoders[key]
 
 
 def tokenizer_path(name: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispectra.llm import oracles, packing, quality, tokenfile, urls, warc
+from lexispectra.llm import lm, oracles, packing, quality, tokenfile, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_url_filter", oracles.url_filter())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
