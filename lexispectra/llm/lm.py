@@ -19,7 +19,7 @@ CLASSES = WORDS + ENDINGS
 DIMENSION, CONTEXT = 16, 2
 #: Most frequent words whose counts go to every task; the counts of all others are joined.
 HEAD = 1 << 19
-BATCH, NOISE, RATE, ROUNDS = 2048, 32, 0.1, 1
+BATCH, NOISE, RATE, ROUNDS = 1024, 64, 0.1, 1
 #: The end of a document as a word hash; also what stands before its first word.
 _END = np.uint64(0xE2D0F7E87)
 _LOG10 = np.log(10.0)
@@ -135,7 +135,7 @@ class Trainer:
         self._noise = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
         self._cumulative = np.cumsum(self._noise)
         self._log = np.log(NOISE * self._noise).astype(np.float32)
-        self._squares = [np.full(p.shape, 1e-2, np.float32) for p in model.parts]
+        self._squares = [np.full(p.shape, 1e-6, np.float32) for p in model.parts]
         self._random = np.random.default_rng(seed)
 
     def batch(self, before: np.ndarray, target: np.ndarray) -> None:
