@@ -196,7 +196,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Mode
         return pd.DataFrame({"margins": [model.margins.tobytes()], "offset": [model.offset], "slope": [model.slope], "shift": [model.shift]})
 
     schema = "margins BINARY, offset DOUBLE, slope DOUBLE, shift DOUBLE"
-    found = parts[0].unionByName(parts[1]).groupBy(F.lit(0)).applyInPandas(learn, schema).collect()
+    found = parts[0].unionByName(parts[1]).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, schema).collect()
     if not found:
         return train([], np.zeros(0))
     row = found[0]
