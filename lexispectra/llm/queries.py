@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispectra.llm import lm, oracles, packing, quality, tokenfile, toxicity, urls, warc
+from lexispectra.llm import lm, near, oracles, packing, quality, tokenfile, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op8_minmax_near_dedup", oracles.near_duplicates())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
