@@ -78,3 +78,27 @@ reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = other)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n.n"""
+
+
+def decontamination() -> str:
+    """All windows of documents and items, joined on their content."""
+    lower = f"translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}')"
+    word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lower}, {word}) AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({lower}, {word}) AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, array_to_string(w[r.i : r.i + 9], ' ') AS content, least(len(w), 10) AS n
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, r.i AS start, array_to_string(w[r.i : r.i + n - 1], ' ') AS content
+  FROM d, sizes, unnest(range(1, len(w) + 1)) AS r(i) WHERE r.i + n - 1 <= len(w)),
+hits AS (SELECT DISTINCT doc_id, start, n, item_id FROM dw JOIN iw USING (content, n)),
+covered AS (SELECT doc_id, count(DISTINCT p.p) AS n_hit FROM hits, unnest(range(start, start + n)) AS p(p) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)"""

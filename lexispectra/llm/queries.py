@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispectra.llm import lm, near, oracles, packing, quality, tokenfile, toxicity, urls, warc
+from lexispectra.llm import decontaminate, lm, near, oracles, packing, quality, tokenfile, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_minmax_near_dedup", oracles.near_duplicates())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_decontaminate", oracles.decontamination())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
