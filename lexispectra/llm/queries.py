@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispectra.llm import decontaminate, lm, near, oracles, packing, quality, tokenfile, toxicity, urls, warc
+from lexispectra.llm import decontaminate, lm, near, oracles, packing, quality, substrings, tokenfile, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_decontaminate", oracles.decontamination())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op4_substring_dedup", oracles.substrings())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_table(spark, sf_dir, "documents"))
