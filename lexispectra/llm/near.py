@@ -232,3 +232,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = signed.select("id", F.col("n").alias("n_shingles"), F.when(~alone, F.col("set")).alias("set"))
     root = F.coalesce("_root", "id")
     return rows.join(roots, "set", "left").select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Rows that repeat both id and text are one document, rows with a null id groups of their own.
+    """
+    place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    ids = place[id_col]
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
+    kept = found.where("kept").select(F.col(id_col).alias("id")).distinct()
+    named = docs.toDF(*place.values()).withColumn("th", F.xxhash64(F.col(place[text_col])))
+    alone = named.join(kept, named[ids].eqNullSafe(kept["id"]), "left_semi").dropDuplicates([ids, "th"])
+    return alone.select(*place.values()).toDF(*docs.columns)

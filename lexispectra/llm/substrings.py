@@ -255,3 +255,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = remove_repeats(docs.select(id_col, text_col), id_col, text_col)
     spaced = F.btrim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[ \\t-\\r]+", " "), F.lit(" "))
     return found.select(id_col, F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(spaced, 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the kept words as text; ``chars_col``, where there is one, follows a changed text."""
+    found = remove_repeats(docs, id_col, text_col)
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        length = F.char_length(F.col(text_col)).cast(kind)
+        found = found.withColumn(chars_col, F.when(F.col("_n_removed") > 0, length).otherwise(F.col(chars_col)))
+    return found.select(*docs.columns)
