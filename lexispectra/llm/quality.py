@@ -32,11 +32,11 @@ class Bands:
     limits: tuple[tuple[int, float, float], ...] = (
         (256, 0.20, 1.00),
         (512, 0.30, 0.90),
-        (2048, 0.28, 0.80),
-        (16384, 0.24, 0.75),
+        (2048, 0.28, 0.74),
+        (16384, 0.24, 0.70),
     )
     chunk_bytes: int = 4096
-    chunk_limits: tuple[float, float] = (0.22, 0.80)
+    chunk_limits: tuple[float, float] = (0.22, 0.78)
     chunk_share: float = 0.2
     level: int = 3
     min_words: int = 50
