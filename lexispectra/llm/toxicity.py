@@ -184,11 +184,23 @@ def held_out(doc_id, folds: int = 3, fold: int = 1):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    """Train on a bounded sample of the labelled rows in one task; rows without a label are left out."""
-    mixed = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
-    given = labelled.where(F.col(label_col).isNotNull()).select(mixed.alias("mixed"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("toxic"))
-    parts = [given.where(F.col("toxic") == label).orderBy("mixed", "text").limit(rows) for label, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+def _sample(rows: DataFrame, order: list) -> DataFrame:
+    """At most TOXIC_ROWS and CLEAN_ROWS rows of either label, the first in ``order``."""
+    parts = [rows.where(F.col("_label") == label).orderBy(*order).limit(n) for label, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    return parts[0].unionByName(parts[1])
+
+
+def fit(texts: DataFrame, labels: DataFrame) -> Model:
+    """Train on a bounded sample of the labelled rows in one task.
+
+    ``texts`` has _id and _text, ``labels`` _id and _label; labels other than 0 and 1 are left out. The
+    sample is drawn from the labels by a hash of the id, so only its ids go to all tasks
+    and only its texts are moved; ids that are repeated cannot make it larger.
+    """
+    mixed = F.xxhash64(F.col("_id").cast("string"), F.lit(17))
+    chosen = _sample(labels.distinct(), [mixed, "_id"])
+    known = texts.join(F.broadcast(chosen), "_id").select(mixed.alias("mixed"), F.col("_text").alias("text"), F.col("_label").cast("int").alias("_label"))
+    sample = _sample(known, ["mixed", "text"]).withColumnRenamed("_label", "toxic")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["mixed", "text"], na_position="first")
@@ -196,7 +208,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Mode
         return pd.DataFrame({"margins": [model.margins.tobytes()], "offset": [model.offset], "slope": [model.slope], "shift": [model.shift]})
 
     schema = "margins BINARY, offset DOUBLE, slope DOUBLE, shift DOUBLE"
-    found = parts[0].unionByName(parts[1]).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, schema).collect()
+    found = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, schema).collect()
     if not found:
         return train([], np.zeros(0))
     row = found[0]
@@ -212,7 +224,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(~held_out(F.col("_id")))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts.join(ids, "_id"), "_id", "_text", "_label"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, ids))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
