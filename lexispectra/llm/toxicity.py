@@ -22,7 +22,7 @@ WINDOW = 24
 LEAST = 96
 #: Bound of the labelled rows that the model learns from, by class: those with the smallest hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 4500
-EPOCHS, STEPS, BATCH, RATE, FLOOR = 4, 1500, 256, 0.4, 1e-3
+EPOCHS, STEPS, BATCH, RATE, FLOOR = 4, 1200, 256, 2.0, 0.1
 _BLOCK = 1 << 20
 _STEP = np.uint64(0x100000001B3)
 
@@ -46,6 +46,7 @@ def subwords(block: Block, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kept = np.sort(order[new])
     starts, ends = (x[kept] + block.doc[kept] + 1 for x in block.bounds)
     spaced = np.insert(np.where(block.in_word, block.data, 32), block.offsets, 32).astype(np.uint64)
+    spaced = np.append(spaced, np.full(max(SIZES), 32, np.uint64))
     size = ends - starts + 1  # n-grams may begin at the mark before the word and at each of its bytes
     word = np.repeat(np.arange(len(kept)), size)
     at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size - starts + 1, size)
