@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,12 +38,14 @@ def cooccurrence_units(
     weighting: int | str,
     symmetric: bool,
     broadcast_bytes: int = BROADCAST_BYTES,
+    mirrored: bool = True,
 ) -> tuple[DataFrame, int]:
     """The counts times a common denominator, and that denominator.
 
-    Scaled counts are whole numbers wherever the weights allow it, so sums over
+    Scaled counts are BIGINT wherever the weights allow it, so sums over
     them are exact. Values that depend only on ratios, such as PMI, can use them
-    directly.
+    directly. Without ``mirrored`` a symmetric table has each unordered pair once, to be
+    merged before `mirror`.
     """
     check_window(window)
     code = weighting_code(weighting)
@@ -50,10 +53,10 @@ def cooccurrence_units(
     units = exact_units(code, window)
     if units is not None:
         cells = pair_units(coded, window, units, symmetric).groupBy("row", "col").agg(F.sum("units").alias("val"))
-        cells, denominator = cells.withColumn("val", F.col("val").cast("double")), units.denominator
+        denominator = units.denominator
     else:
         cells, denominator = _weigh_counts(pair_counts(coded, window, symmetric), code, window), 1
-    return (_mirror(cells) if symmetric else cells), denominator
+    return (mirror(cells) if symmetric and mirrored else cells), denominator
 
 
 def _weigh_counts(counts: DataFrame, code: int, window: int) -> DataFrame:
@@ -74,7 +77,7 @@ def _add_part(total: Column, part: Column) -> Column:
     return total + part["n"].cast("double") * F.element_at(F.col("weights"), part["distance"])
 
 
-def _mirror(cells: DataFrame) -> DataFrame:
+def mirror(cells: DataFrame) -> DataFrame:
     """Unordered pairs to both directions; a pair of equal words counts twice in its one cell."""
 
     def cell(row: str, col: str, val: Column) -> Column:
@@ -86,6 +89,21 @@ def _mirror(cells: DataFrame) -> DataFrame:
     return cells.select(F.inline(F.when(F.col("row") == F.col("col"), once).otherwise(both)))
 
 
+def count_corpora(
+    corpora: Sequence[DataFrame],
+    vocab: DataFrame,
+    window: int = 10,
+    weighting: int | str = 1,
+    symmetric: bool = True,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Counts of several corpora under one vocabulary: unordered whole numbers are merged, and mirrored last."""
+    parts = [cooccurrence_units(c, vocab, window, weighting, symmetric, broadcast_bytes, mirrored=False) for c in corpora]
+    cells = merge_cooccurrence(*[p[0] for p in parts])
+    cells = cells.withColumn("val", F.col("val") / F.lit(float(parts[0][1])))
+    return mirror(cells) if symmetric else cells
+
+
 def merge_cooccurrence(*tables: DataFrame) -> DataFrame:
     """Add up count tables that were made with one vocabulary; also removes duplicate cells."""
     if not tables:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispectra.runtime import stage
+
 # Row and column sums up to this many ids (some 100 MB as a hash table) are broadcast.
 BROADCAST_IDS = 2_000_000
 
@@ -27,6 +29,7 @@ def matrix_shape(cooc: DataFrame) -> DataFrame:
 
 
 def pmi_value(val: Column, row_total: Column, col_total: Column, total: Column) -> Column:
+    val, row_total, col_total, total = (c.cast("double") for c in (val, row_total, col_total, total))
     return F.log2(val / (total * (row_total / total) * (col_total / total)))
 
 
@@ -34,26 +37,29 @@ def pmi(
     cooc: DataFrame,
     cutoff: float | None = None,
     shift: float | None = None,
-    ids: int | None = None,
     symmetric: bool = False,
 ) -> DataFrame:
     """``row INT, col INT, pmi DOUBLE`` for each cell; sums are taken over all cells.
 
     ``cutoff`` then keeps the cells with at least that value and ``shift`` is
-    added to what is kept. The table is read once per sum and once for the
-    cells, so stage it first. ``ids`` is the number of ids if known: the sums
-    are broadcast up to `BROADCAST_IDS`, and beyond it Spark joins by shuffle and
-    splits skewed rows. A symmetric table needs only its row sums.
+    added to what is kept. The table is read for each kind of sum and for the
+    cells, so stage it first; whole numbers add up exactly in any order, and the grand
+    total is the sum of the row sums. The sums are staged, broadcast up to
+    `BROADCAST_IDS` of them, and beyond it joined by shuffle, where Spark splits skewed
+    rows. A symmetric table needs only its row sums.
     """
-    rows = row_marginal(cooc)
+    rows = stage(row_marginal(cooc), "row-sums")
+    total = rows.agg(F.sum("row_total").alias("total"))
     cols = rows.select(F.col("row").alias("col"), F.col("row_total").alias("col_total"))
     if not symmetric:
-        cols = col_marginal(cooc)
-    if ids is not None and ids <= BROADCAST_IDS:
-        rows, cols = F.broadcast(rows), F.broadcast(cols)
+        cols = stage(col_marginal(cooc), "col-sums")
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    if cols.count() <= BROADCAST_IDS:
+        cols = F.broadcast(cols)
     value = pmi_value(F.col("val"), F.col("row_total"), F.col("col_total"), F.col("total"))
     cells = (
-        cooc.withColumn("total", cooc_total(cooc).scalar())
+        cooc.withColumn("total", total.scalar())
         .join(rows, "row")
         .join(cols, "col")
         .select("row", "col", value.alias("pmi"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispectra.operators.ranking import with_global_rank
@@ -35,11 +35,26 @@ def rank_vocabulary(counts: DataFrame, min_count: int = 10, max_vocab: int = 0)
     """
     kept = counts.where(F.col("count") >= min_count)
     if max_vocab > 0:
-        by_hash = with_global_rank(kept, [F.desc("count"), F.md5(F.col("word").cast("binary")), F.col("word")], "_cut")
-        kept = by_hash.where(F.col("_cut") <= max_vocab).drop("_cut")
+        kept = most_frequent(stage(kept, "word-counts"), max_vocab)
     return with_global_rank(kept, [F.desc("count"), F.col("word")], "id")
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` words of the largest counts; ties at the cut by MD5.
+
+    The cut comes from the histogram of counts, a small table (different counts
+    cannot be more than the root of twice the tokens), so only the words at the cut are sorted.
+    """
+    falling = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    histogram = counts.groupBy("count").agg(F.count("*").alias("words"))
+    steps = histogram.withColumn("above", F.coalesce(F.sum("words").over(falling), F.lit(0)))
+    cut = steps.where(F.col("above") + F.col("words") > size).orderBy(F.desc("count")).first()
+    if cut is None:
+        return counts
+    ties = counts.where(F.col("count") == cut["count"]).orderBy(F.md5(F.col("word").cast("binary")), "word")
+    return counts.where(F.col("count") > cut["count"]).unionByName(ties.limit(max(0, size - cut["above"])))
+
+
 def build_vocab(lines: DataFrame, min_count: int = 10, max_vocab: int = 0) -> DataFrame:
     """Count, cut and rank the words of a corpus; the result is a staged table."""
     if min_count < 0 or max_vocab < 0:

@@ -18,7 +18,7 @@ class TrainParams:
     pmi_cutoff: float | None = -2.5
     pmi_shift: float | None = 2.5
     dimension: int = 100
-    method: str = "auto"  # see operators.svd
+    method: str = "block"  # see operators.svd
 
     def __post_init__(self) -> None:
         if self.min_count < 0 or self.max_vocab < 0:

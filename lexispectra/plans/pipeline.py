@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispectra.operators.cooccurrence import cooccurrence_units, merge_cooccurrence
-from lexispectra.operators.pmi import pmi
+from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, merge_cooccurrence
+from lexispectra.operators.pmi import matrix_shape, pmi
 from lexispectra.operators.svd import embedding, svd
-from lexispectra.operators.vocabulary import build_vocab
+from lexispectra.operators.vocabulary import build_vocab, word_count
 from lexispectra.plans.params import TrainParams
-from lexispectra.runtime import stage
+from lexispectra.runtime import clear_outputs, stage
 from lexispectra.sources.cooccurrence import read_cooccurrence_bin, write_cooccurrence_bin
 from lexispectra.sources.corpus import read_corpus
 from lexispectra.sources.embedding import write_embedding
@@ -27,9 +27,16 @@ def train(lines: DataFrame, params: TrainParams = TrainParams(), vocab: DataFram
     return _embed_counts(_count(lines, vocab, params)[0], vocab, params, params.symmetric)
 
 
-def embed(cooc: DataFrame, vocab: DataFrame, params: TrainParams = TrainParams()) -> DataFrame:
-    """The same from a co-occurrence table; the table may list a cell more than once."""
-    return _embed_counts(stage(merge_cooccurrence(cooc), "cooccurrence"), vocab, params, symmetric=False)
+def embed(
+    cooc: DataFrame, vocab: DataFrame, params: TrainParams = TrainParams(), unique: bool = False, symmetric: bool = False
+) -> DataFrame:
+    """The same from a co-occurrence table.
+
+    The table may list a cell more than once unless it is ``unique``; one known to be ``symmetric``
+    needs no column sums.
+    """
+    cells = cooc.select("row", "col", "val") if unique else merge_cooccurrence(cooc)
+    return _embed_counts(stage(cells, "cooccurrence"), vocab, params, symmetric)
 
 
 def train_files(
@@ -41,8 +48,13 @@ def train_files(
     vocab_out: str | None = None,
     cooccurrence_out: str | None = None,
     encoding: str | None = None,
+    overwrite: bool = False,
 ) -> None:
-    """Text files to an embedding file; uses a vocabulary file or writes the one it makes, keeps the counts if asked."""
+    """Text files to an embedding file; uses a vocabulary file or writes the one it makes, keeps the counts if asked.
+
+    Outputs that exist are refused before any work, or replaced with ``overwrite``.
+    """
+    clear_outputs(spark, [output, vocab_out if vocab_in is None else None, cooccurrence_out], overwrite)
     lines = read_corpus(spark, corpus, encoding)
     if vocab_in is not None:
         vocab = read_vocabulary(spark, vocab_in, encoding)
@@ -63,15 +75,65 @@ def embed_files(
     output: str,
     params: TrainParams = TrainParams(),
     encoding: str | None = None,
+    overwrite: bool = False,
 ) -> None:
     """Binary co-occurrence and vocabulary files to an embedding file."""
+    clear_outputs(spark, [output], overwrite)
     words = read_vocabulary(spark, vocab, encoding)
-    write_embedding(embed(read_cooccurrence_bin(spark, cooccurrence), words, params), output, encoding)
+    write_embedding(embed(read_cooccurrence_bin(spark, cooccurrence), words, params, unique=True), output, encoding)
+
+
+def vocabulary_files(
+    spark: SparkSession,
+    corpus: str | list[str],
+    vocab_out: str,
+    min_count: int = 10,
+    max_vocab: int = 0,
+    encoding: str | None = None,
+    overwrite: bool = False,
+) -> None:
+    """Text files to a vocabulary file alone."""
+    clear_outputs(spark, [vocab_out], overwrite)
+    write_vocabulary(build_vocab(read_corpus(spark, corpus, encoding), min_count, max_vocab), vocab_out, encoding)
+
+
+def cooccurrence_files(
+    spark: SparkSession,
+    corpus: str | list[str],
+    vocab: str,
+    output: str,
+    window: int = 10,
+    weighting: int | str = 1,
+    symmetric: bool = True,
+    encoding: str | None = None,
+    overwrite: bool = False,
+) -> None:
+    """Text files and a vocabulary file to a binary count file alone."""
+    clear_outputs(spark, [output], overwrite)
+    words = read_vocabulary(spark, vocab, encoding)
+    write_cooccurrence_bin(count_cooccurrence(read_corpus(spark, corpus, encoding), words, window, weighting, symmetric), output)
+
+
+def statistics(lines: DataFrame, vocab: DataFrame, cells: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """``metric STRING, value BIGINT``: sizes along the way, from the corpus, its vocabulary and the PMI of all cells."""
+
+    def rows(table: DataFrame, **found) -> DataFrame:
+        metrics = F.array(*[
+            F.struct(F.lit(name).alias("metric"), value.cast("bigint").alias("value")) for name, value in found.items()
+        ])
+        return table.agg(metrics.alias("found")).select(F.inline("found"))
+
+    kept = F.count("*") if cutoff is None else F.count_if(F.col("pmi") >= cutoff)
+    return (
+        rows(word_count(lines), tokens=F.sum("count"), distinct_words=F.count("*"))
+        .unionByName(rows(vocab, vocabulary=F.count("*"), tokens_in_vocabulary=F.sum("count")))
+        .unionByName(rows(cells, cells=F.count("*"), cells_kept=kept))
+    )
 
 
-def pmi_cells(cooc: DataFrame, vocab: DataFrame, params: TrainParams, symmetric: bool) -> DataFrame:
+def pmi_cells(cooc: DataFrame, params: TrainParams, symmetric: bool) -> DataFrame:
     """The PMI table of a staged count table, with the cutoff and shift of ``params``."""
-    return pmi(cooc, params.pmi_cutoff, params.pmi_shift, ids=vocab.count(), symmetric=symmetric)
+    return pmi(cooc, params.pmi_cutoff, params.pmi_shift, symmetric=symmetric)
 
 
 def _count(lines: DataFrame, vocab: DataFrame, params: TrainParams) -> tuple[DataFrame, int]:
@@ -81,6 +143,9 @@ def _count(lines: DataFrame, vocab: DataFrame, params: TrainParams) -> tuple[Dat
 
 def _embed_counts(cooc: DataFrame, vocab: DataFrame, params: TrainParams, symmetric: bool) -> DataFrame:
     # PMI depends on ratios only, so counts in units of their denominator will do and sum exactly.
-    cells = pmi_cells(cooc, vocab, params, symmetric)
+    shape, last = matrix_shape(cooc).first(), vocab.agg(F.max("id")).first()[0] or 0
+    if max(shape["n_rows"] or 0, shape["n_cols"] or 0) > last:
+        raise ValueError(f"the counts have ids up to {max(shape)}, the vocabulary only up to {last}")
+    cells = pmi_cells(cooc, params, symmetric)
     found = svd(cells, params.dimension, method=params.method)
     return embedding(vocab, found.vectors, params.dimension)

@@ -13,11 +13,11 @@ from lexispectra.functions.weights import WEIGHTINGS, weight_column
 from lexispectra.operators import pmi as P
 from lexispectra.operators import svd as S
 from lexispectra.operators import windows as W
-from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, merge_cooccurrence
+from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, count_corpora
 from lexispectra.operators.encoding import encode, oov_filter
 from lexispectra.operators.vocabulary import build_vocab, word_count
 from lexispectra.plans.params import TrainParams
-from lexispectra.plans.pipeline import embed, pmi_cells, train
+from lexispectra.plans.pipeline import embed, pmi_cells, statistics, train
 from lexispectra.runtime import spread, stage, stage_root
 from lexispectra.sources.cooccurrence import read_cooccurrence_bin, write_cooccurrence_bin
 from lexispectra.sources.corpus import read_corpus_table, tokens
@@ -176,7 +176,7 @@ def cooc_given_vocab(spark: SparkSession, sf: str) -> DataFrame:
 def cooc_merge(spark: SparkSession, sf: str) -> DataFrame:
     vocab = vocabulary(spark, sf)
     both = documents(spark, sf), conversations(spark, sf)
-    return merge_cooccurrence(*[count_cooccurrence(lines, vocab, WINDOW) for lines in both])
+    return count_corpora(both, vocab, WINDOW)
 
 
 def cooc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,44 +190,30 @@ def cooc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _marginal(find: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return find(scaled_counts(spark, sf, symmetric=False)[1])
+        found = find(scaled_counts(spark, sf, symmetric=False)[1])
+        return found.select(*[F.col(c).cast("double").alias(c) if t == "bigint" else F.col(c) for c, t in found.dtypes])
 
     return query
 
 
 def _rounded_pmi(cutoff: float | None, shift: float | None) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        vocab, cooc = scaled_counts(spark, sf)
-        cells = P.pmi(cooc, cutoff, shift, ids=vocab.count(), symmetric=True)
+        cells = P.pmi(scaled_counts(spark, sf)[1], cutoff, shift, symmetric=True)
         return cells.withColumn("pmi", F.round("pmi", 6))
 
     return query
 
 
 def pipeline_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes along the pipeline, one row each."""
-    words = stage(word_count(documents(spark, sf)), "word-count")
     vocab, cooc = scaled_counts(spark, sf)
-    cells = P.pmi(cooc, ids=vocab.count(), symmetric=True)
-
-    def rows(table: DataFrame, **found) -> DataFrame:
-        metrics = F.array(*[
-            F.struct(F.lit(name).alias("metric"), value.cast("bigint").alias("value")) for name, value in found.items()
-        ])
-        return table.agg(metrics.alias("found")).select(F.inline("found"))
-
-    return (
-        rows(words, tokens=F.sum("count"), distinct_words=F.count("*"))
-        .unionByName(rows(vocab, vocabulary=F.count("*"), tokens_in_vocabulary=F.sum("count")))
-        .unionByName(rows(cells, cells=F.count("*"), cells_kept=F.count_if(F.col("pmi") >= CUTOFF)))
-    )
+    return statistics(documents(spark, sf), vocab, P.pmi(cooc, symmetric=True), CUTOFF)
 
 
 # Matrix and embedding
 
 
 def sparse_rows(spark: SparkSession, sf: str) -> DataFrame:
-    cooc = scaled_counts(spark, sf)[1].withColumn("val", F.col("val").cast("bigint"))
+    cooc = scaled_counts(spark, sf)[1]
     return S.sparse_rows(cooc, "val").select(
         "row",
         "piece",
@@ -237,8 +223,8 @@ def sparse_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def svd_singular_values(spark: SparkSession, sf: str) -> DataFrame:
-    vocab, cooc = scaled_counts(spark, sf)
-    found = S.svd(pmi_cells(cooc, vocab, PARAMS, symmetric=True), PARAMS.dimension)
+    cooc = scaled_counts(spark, sf)[1]
+    found = S.svd(pmi_cells(cooc, PARAMS, symmetric=True), PARAMS.dimension)
     return spark.createDataFrame(list(enumerate(found.values, 1)), "rank INT, value DOUBLE")
 
 

@@ -61,6 +61,17 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_outputs(spark: SparkSession, paths: list[str | None], overwrite: bool) -> None:
+    """Refuse outputs that exist, before any work; with ``overwrite`` remove them."""
+    for name in filter(None, paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(path):
+            if not overwrite:
+                raise FileExistsError(f"{name} exists already")
+            store.delete(path, True)
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a Hadoop-style path or a plain absolute one, for the driver and the tasks alike."""
     scheme, colon, rest = path.partition(":")

@@ -5,8 +5,9 @@ import pytest
 import naive
 from lexispectra.functions.weights import exact_units, weight, weighting_code
 from lexispectra.operators import windows as W
-from lexispectra.operators.cooccurrence import count_cooccurrence, merge_cooccurrence
+from lexispectra.operators.cooccurrence import count_cooccurrence, count_corpora, merge_cooccurrence
 from lexispectra.operators.encoding import encode
+from lexispectra.operators.vocabulary import build_vocab
 
 
 def cells(table):
@@ -112,3 +113,13 @@ def test_ids_up_to_the_largest_integer(lines, spark, weighting):
     words = spark.createDataFrame([(i, w) for w, i in ids.items()], "id INT, word STRING")
     found = cells(count_cooccurrence(lines(texts), words, 5, weighting))
     assert found == pytest.approx(naive.cooccurrence(texts, ids, 5, weighting, True))
+
+
+def test_corpora_are_counted_as_whole_numbers_and_mirrored_last(lines):
+    first, second = lines(["a b a c", "b c"]), lines(["c a b", "a"])
+    vocab = build_vocab(lines(["a b c"]), 1)
+    for symmetric in (True, False):
+        together = count_corpora([first, second], vocab, 3, symmetric=symmetric)
+        apart = merge_cooccurrence(*[count_cooccurrence(x, vocab, 3, symmetric=symmetric) for x in (first, second)])
+        found, expected = ({(r["row"], r["col"]): r["val"] for r in t.collect()} for t in (together, apart))
+        assert found == pytest.approx(expected)

@@ -2,9 +2,11 @@ import numpy as np
 import pytest
 
 import naive
-from lexispectra import TrainParams, embed, embed_files, train, train_files
+from lexispectra import TrainParams, cooccurrence_files, embed, embed_files, statistics, train, train_files, vocabulary_files
 from lexispectra.operators.cooccurrence import count_cooccurrence
+from lexispectra.operators.pmi import pmi
 from lexispectra.operators.vocabulary import build_vocab
+from lexispectra.sources.cooccurrence import read_cooccurrence_bin
 
 PARAMS = TrainParams(min_count=3, window=4, dimension=5)
 
@@ -84,3 +86,42 @@ def test_files(spark, tmp_path):
 def test_parameters(wrong):
     with pytest.raises(ValueError):
         TrainParams(**wrong)
+
+
+def test_outputs_are_refused_before_any_work_or_replaced(spark, tmp_path):
+    (tmp_path / "corpus.txt").write_text("\n".join(naive.corpus(12)))
+    corpus, out, vocab = (str(tmp_path / n) for n in ("corpus.txt", "out", "vocab"))
+    (tmp_path / "out").mkdir()
+    with pytest.raises(FileExistsError, match="out"):
+        train_files(spark, corpus, out, PARAMS, vocab_out=vocab)
+    assert not (tmp_path / "vocab").exists()
+    train_files(spark, corpus, out, PARAMS, vocab_out=vocab, overwrite=True)
+    assert spark.read.text(out).count() == spark.read.text(vocab).count() > 0
+
+
+def test_stages_on_files(spark, tmp_path, lines):
+    texts = naive.corpus(13)
+    (tmp_path / "corpus.txt").write_text("\n".join(texts))
+    corpus, vocab, cooc = (str(tmp_path / n) for n in ("corpus.txt", "vocab", "cooc"))
+    vocabulary_files(spark, corpus, vocab, min_count=3)
+    cooccurrence_files(spark, corpus, vocab, cooc, window=4, symmetric=False)
+    words = build_vocab(lines(texts), 3)
+    expected = count_cooccurrence(lines(texts), words, 4, symmetric=False)
+    found = read_cooccurrence_bin(spark, cooc)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in expected.collect()}
+    sizes = {r["metric"]: r["value"] for r in statistics(lines(texts), words, pmi(expected), 0.0).collect()}
+    assert sizes["tokens"] == sum(len(t.split()) for t in texts) and sizes["cells"] == expected.count() > sizes["cells_kept"]
+
+
+def test_counts_beyond_the_vocabulary_are_refused(spark, vocab):
+    cells = spark.createDataFrame([(i, j, 1.0) for i in range(1, 7) for j in range(1, 7)], "row INT, col INT, val DOUBLE")
+    with pytest.raises(ValueError, match="up to 6"):
+        embed(cells, vocab(["a", "b"]), TrainParams(dimension=1))
+
+
+def test_unique_and_symmetric_tables_need_fewer_sums(lines):
+    corpus = lines(naive.corpus(9))
+    words = build_vocab(corpus, PARAMS.min_count)
+    cells = count_cooccurrence(corpus, words, PARAMS.window)
+    plain, known = (vectors(embed(cells, words, PARAMS, **k)) for k in ({}, {"unique": True, "symmetric": True}))
+    assert all(np.allclose(plain[w], known[w], atol=1e-5) for w in plain)

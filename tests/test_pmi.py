@@ -22,11 +22,13 @@ def values(table):
     return {(r["row"], r["col"]): r["pmi"] for r in table.collect()}
 
 
-@pytest.mark.parametrize("ids", [None, 3])
+@pytest.mark.parametrize("ids", [0, 3])
 @pytest.mark.parametrize("symmetric", [True, False])
-def test_worked_example(spark, ids, symmetric):
-    cooc = spark.createDataFrame(CELLS, SCHEMA)
-    assert values(P.pmi(cooc, ids=ids, symmetric=symmetric)) == pytest.approx(EXPECTED)
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_worked_example(spark, monkeypatch, ids, symmetric, kind):
+    monkeypatch.setattr(P, "BROADCAST_IDS", ids)
+    cooc = spark.createDataFrame(CELLS, SCHEMA).withColumn("val", (F.col("val") * 2520).cast(kind))
+    assert values(P.pmi(cooc, symmetric=symmetric)) == pytest.approx(EXPECTED)
 
 
 def test_cutoff_then_shift(spark):

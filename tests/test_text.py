@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from lexispectra.functions.encoding import decode_text
 from lexispectra.functions.text import truncate_word
 from lexispectra.sources.corpus import corpus_lines, read_corpus, tokens, words
 
@@ -56,3 +58,9 @@ def test_long_words(spark):
     for row in rows.select("word", "expected", truncate_word(F.col("word")).alias("kept")).collect():
         assert len(row["kept"].encode()) == row["expected"]
         assert row["word"].startswith(row["kept"])
+
+
+def test_encodings_of_more_than_one_byte_are_refused():
+    for encoding in ("gbk", "utf-16", "shift_jis", "utf-7", "iso2022_jp"):
+        with pytest.raises(ValueError, match="single-byte"):
+            decode_text(F.lit("x"), encoding)
