@@ -23,6 +23,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 AGREE = 0.55
 #: Members of a bucket or cluster that one task compares with as many others.
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512
+#: Members of buckets that are handed to a task together; most buckets have two or three.
+LOT = 10_000
 _random = np.random.default_rng(31)
 _FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -132,21 +134,29 @@ def _ends(frame: pd.DataFrame, links: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 def _similar(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links, without cycles, between members of a bucket whose signatures agree enough; blocks meet each other, or themselves."""
-    if len(frame) < 2:
-        return _ends(frame, [])
+    """Links, without cycles, between members of each bucket of a lot whose signatures agree enough.
+
+    Blocks of a cut bucket meet each other, or themselves.
+    """
+    frame = frame.sort_values(["key", "p", "q"], ignore_index=True)
     signature = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), -1)
-    mine, n, forest = frame["mine"].to_numpy(), frame["n"].to_numpy(), _Forest(len(frame))
-    crossing = frame["p"].iloc[0] != frame["q"].iloc[0]
-    for i in range(len(frame) - 1):
-        rest = slice(i + 1, None)
-        near = np.minimum(n[i], n[rest]) * 100 >= PERCENT * np.maximum(n[i], n[rest])
-        if crossing:
-            near &= mine[rest] != mine[i]
-        rows = np.flatnonzero(near) + i + 1
-        agree = (signature[rows] == signature[i]).mean(1)
-        forest.link(i, rows[agree >= AGREE])
-    return _ends(frame, forest.links)
+    mine, n, p, q = (frame[k].to_numpy() for k in ("mine", "n", "p", "q"))
+    new = np.append(True, (np.diff(frame["key"]) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) if len(frame) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    links: list[tuple[int, int]] = []
+    for start, stop in zip(starts.tolist(), np.append(starts[1:], len(frame)).tolist()):
+        forest = _Forest(stop - start)
+        for i in range(start, stop - 1):
+            rows = slice(i + 1, stop)
+            near = np.minimum(n[i], n[rows]) * 100 >= PERCENT * np.maximum(n[i], n[rows])
+            if p[start] != q[start]:
+                near &= mine[rows] != mine[i]
+            others = np.flatnonzero(near) + i + 1
+            if len(others):
+                agree = (signature[others] == signature[i]).sum(1)
+                forest.link(i - start, others[agree >= AGREE * signature.shape[1]] - start)
+        links += [(start + i, start + j) for i, j in forest.links]
+    return _ends(frame, links)
 
 
 def _linked(frame: pd.DataFrame) -> pd.DataFrame:
@@ -216,9 +226,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "classes",
     )
     dealt = classes.select("node", "set", F.explode("bands").alias("key"))
-    buckets = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = stage(dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = classes.select("node", "set", "n", "signature").join(dealt.join(buckets, "key").select("set", "key", "size"), "set")
-    compared = _block_pairs(members, "size", BUCKET_BLOCK).groupBy("key", "p", "q")
+    met = _block_pairs(members, "size", BUCKET_BLOCK)
+    lots = max(1, -(-(buckets.agg(F.sum("size")).first()[0] or 0) // LOT))
+    compared = met.groupBy(F.pmod(F.xxhash64("key", "p", "q"), F.lit(lots)).alias("lot"))
     kind = docs.schema[id_col].dataType.simpleString()
     clusters = components(compared.applyInPandas(_similar, f"a {kind}, b {kind}"))
     nodes = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
