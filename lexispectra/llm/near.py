@@ -254,7 +254,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
     ids = place[id_col]
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    kept = found.where("kept").select(F.col(id_col).alias("id")).distinct()
-    named = docs.toDF(*place.values()).withColumn("th", F.xxhash64(F.col(place[text_col])))
-    alone = named.join(kept, named[ids].eqNullSafe(kept["id"]), "left_semi").dropDuplicates([ids, "th"])
+    # A key that is never null, so that the join leaves the rows where the last step needs them.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    kept = found.where("kept").select(key(id_col).alias("key")).distinct()
+    named = docs.toDF(*place.values()).withColumns({"key": key(ids), "th": F.xxhash64(F.col(place[text_col]))})
+    alone = named.join(kept, "key", "left_semi").dropDuplicates(["key", "th"])
     return alone.select(*place.values()).toDF(*docs.columns)

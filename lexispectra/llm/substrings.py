@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispectra.llm.text import Block, blocks, mix, span_hashes
@@ -16,7 +16,7 @@ from lexispectra.runtime import stage
 #: Words of a window, and of the k-grams among which each window has an anchor.
 WINDOW, GRAM = 35, 8
 #: Phrases that a reference block holds, and places of an anchor beyond which its phrases are dealt to several blocks.
-BLOCK, HOT = 20_000, 2_000
+BLOCK, HOT = 10_000, 2_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,7 +93,7 @@ def factors(hashes: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.nda
     return source, begins & ~goes_on
 
 
-_FOUND = "id {}, th BIGINT, start INT, stop INT, h1 BIGINT, h2 BIGINT, alone BOOLEAN"
+_FOUND = "id BIGINT, th BIGINT, start INT, stop INT, h1 BIGINT, h2 BIGINT, alone BOOLEAN"
 
 
 def _parse(table: pa.Table) -> pa.Table:
@@ -140,10 +140,6 @@ def _parse(table: pa.Table) -> pa.Table:
     )
 
 
-def _same(left: DataFrame, right: DataFrame, id_col: str) -> Column:
-    return left[id_col].eqNullSafe(right["id"]) & (left["th"] == right["th"])
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with columns _n_words and _n_removed, and as text the words that are kept, joined by one space.
 
@@ -163,14 +159,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = len(docs.columns)
     place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
     ids, texts = place[id_col], place[text_col]
-    named = docs.toDF(*place.values()).withColumn("th", F.xxhash64(F.coalesce(F.col(texts).cast("string"), F.lit(""))))
-    kind = docs.schema[id_col].dataType.simpleString()
-    plain = named.select(F.col(ids).alias("id"), "th", F.col(texts).cast("string").alias("text"))
+    # Rows are known by hashes of id and text, neither ever null; rows that share both share their repeats.
+    keys = {"id": F.xxhash64(F.col(ids)), "th": F.xxhash64(F.coalesce(F.col(texts).cast("string"), F.lit("")))}
+    named = docs.toDF(*place.values()).withColumns(keys)
+    plain = named.select("id", "th", F.col(texts).cast("string").alias("text"))
     spark = docs.sparkSession
-    # The same exchange of texts serves both joins below.
-    moved = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(ids), F.col("th"))
+    # The same exchange serves both joins below, so both take all its columns.
+    moved = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "th")
 
-    seen = plain.mapInArrow(_anchors, f"id {kind}, th BIGINT, anchor BIGINT, places BIGINT")
+    seen = plain.mapInArrow(_anchors, "id BIGINT, th BIGINT, anchor BIGINT, places BIGINT")
     shared = stage(seen.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1"), "anchors")
     size = shared.agg(F.sum("places").alias("all"), F.max("places").alias("most")).first()
     n_blocks = max(1, -(-(size["all"] or 0) // BLOCK))
@@ -179,7 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column("anchors")
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column(texts)):
                 first, last, anchor, _ = phrases(block)
                 doc = block.doc[first]
                 part = listed.slice(block.rows.start, len(block))
@@ -207,16 +204,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ["id", "th", "first", "block", "dealt", "text"],
                 )
 
-    with_anchors = moved.join(listed, _same(moved, listed, ids)).select(moved[ids].alias("id"), moved["th"], F.col(texts).cast("string").alias("text"), "anchors")
-    cut_up = with_anchors.mapInArrow(cut, f"id {kind}, th BIGINT, first INT, block BIGINT, dealt BOOLEAN, text STRING")
-    found = cut_up.groupBy("block").applyInArrow(_parse, _FOUND.format(kind))
+    with_anchors = moved.join(listed, ["id", "th"]).select(*place.values(), "id", "th", "anchors")
+    cut_up = with_anchors.mapInArrow(cut, "id BIGINT, th BIGINT, first INT, block BIGINT, dealt BOOLEAN, text STRING")
+    found = cut_up.groupBy("block").applyInArrow(_parse, _FOUND)
     spans = found.where(F.col("h1").isNull()).select("id", "th", "start", "stop")
     if (size["most"] or 0) > HOT:
         across = found.where(F.col("h1").isNotNull())
         again = across.groupBy("h1", "h2").agg(F.count("*").alias("blocks")).where("blocks > 1")
         spans = spans.unionByName(across.where("alone").join(again, ["h1", "h2"]).select("id", "th", "start", "stop"))
     removed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    result = moved.join(removed, _same(moved, removed, ids), "left").select(*place.values(), "spans")
+    result = moved.join(removed, ["id", "th"], "left").select(*place.values(), "spans")
     schema = ", ".join(f"`{place[f.name]}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
