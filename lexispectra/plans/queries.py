@@ -13,7 +13,7 @@ from lexispectra.functions.weights import WEIGHTINGS, weight_column
 from lexispectra.operators import pmi as P
 from lexispectra.operators import svd as S
 from lexispectra.operators import windows as W
-from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, count_corpora
+from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, merge_cooccurrence, mirror
 from lexispectra.operators.encoding import encode, oov_filter
 from lexispectra.operators.vocabulary import build_vocab, word_count
 from lexispectra.plans.params import TrainParams
@@ -176,7 +176,8 @@ def cooc_given_vocab(spark: SparkSession, sf: str) -> DataFrame:
 def cooc_merge(spark: SparkSession, sf: str) -> DataFrame:
     vocab = vocabulary(spark, sf)
     both = documents(spark, sf), conversations(spark, sf)
-    return count_corpora(both, vocab, WINDOW)
+    parts = [cooccurrence_units(lines, vocab, WINDOW, 1, symmetric=True, mirrored=False) for lines in both]
+    return mirror(merge_cooccurrence(*[c.withColumn("val", F.col("val") / F.lit(float(d))) for c, d in parts]))
 
 
 def cooc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

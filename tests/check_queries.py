@@ -37,6 +37,8 @@ def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> str:
         return f"rows {len(ours)} / {len(theirs)}"
     a, b = normalised(ours), normalised(theirs)
     for name in a.columns:
+        if a[name].isna().any() and pd.api.types.is_numeric_dtype(a[name]) and pd.api.types.is_numeric_dtype(b[name]):
+            a[name], b[name] = a[name].astype("float64"), b[name].astype("float64")  # pandas has nulls as it likes
         if str(a[name].dtype) != str(b[name].dtype):
             return f"type of {name}: {a[name].dtype} / {b[name].dtype}"
         same = (a[name] == b[name]) | (a[name].isna() & b[name].isna())
