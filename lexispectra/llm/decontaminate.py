@@ -80,10 +80,12 @@ def _verified(docs: DataFrame, items: DataFrame, key: str, text: str, size: int)
     joined = docs.join(found, docs[key].eqNullSafe(found["key"]), "left").select(*docs.columns, "c")
     whole = F.col(text).cast("string")
     # Texts without a candidate are split once, to count their words.
-    counted = joined.withColumn("w", F.when(F.col("c").isNull(), _loose(whole)).otherwise(words(whole)))
+    split = F.when(F.col("c").isNull(), _loose(whole)).otherwise(words(whole))
+    # The row number keeps Catalyst from moving the split into the functions below, where it would run for each candidate.
+    counted = joined.select(*docs.columns, "c", split.alias("w"), F.monotonically_increasing_id().alias("_row"))
     fits = lambda c: F.array_join(F.slice(F.col("w"), c["start"] + 1, c["length"]), " ") == c["content"]
     occurring = F.filter(F.coalesce("c", F.array().cast(found.schema["c"].dataType)), fits)
-    verified = counted.select(*docs.columns, F.size("w").cast("bigint").alias("n_words"), occurring.alias("c"))
+    verified = counted.select(*docs.columns, "_row", F.size("w").cast("bigint").alias("n_words"), occurring.alias("c"))
     none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("hit"))
 
     def cover(state: Column, c: Column) -> Column:
@@ -91,7 +93,7 @@ def _verified(docs: DataFrame, items: DataFrame, key: str, text: str, size: int)
         return F.struct(F.greatest(state["end"], end).alias("end"), (state["hit"] + F.greatest(F.lit(0), end - F.greatest(state["end"], c["start"]))).alias("hit"))
 
     listed = F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda c: c["items"]))))
-    return verified.select(*docs.columns, "n_words", F.aggregate("c", none, cover, lambda s: s["hit"]).alias("n_hit"), listed.alias("items"))
+    return verified.select(*docs.columns, "_row", "n_words", F.aggregate("c", none, cover, lambda s: s["hit"]).alias("n_hit"), listed.alias("items"))
 
 
 def _item_table(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
@@ -119,4 +121,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """The rows without an occurrence of an item's window, with all their columns."""
     place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
     found = _verified(docs.toDF(*place.values()), _item_table(items, item_col, item_text), place[id_col], place[text_col], size)
-    return found.where("n_hit = 0").select(*place.values()).toDF(*docs.columns)
+    return found.where("n_hit = 0 AND _row >= 0").select(*place.values()).toDF(*docs.columns)
