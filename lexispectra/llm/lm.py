@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 from lexispectra.llm.text import Block, blocks, mix
 from lexispectra.runtime import stage
 
-#: Frequent words with a class of their own, and classes of all other words by their last bytes.
+#: Frequent words with a class of their own, and classes by their last bytes of the words without vectors.
 WORDS, ENDINGS = 448, 64
 CLASSES = WORDS + ENDINGS
+#: Other words have vectors of their own from this count on: LEAST, or ROOT times the square root of the tokens.
+LEAST, ROOT = 10, 0.01
 DIMENSION, CONTEXT = 16, 2
 #: Most frequent words whose counts go to every task; the counts of all others are joined.
 HEAD = 1 << 17
 BATCH, NOISE, RATE, ROUNDS = 1024, 64, 0.1, 1
+#: Own words that are taught together, noise words for those of one group, and rows of a model that travel together.
+LESSON, GROUP_NOISE, CHUNK = 65_536, 32, 4096
 #: The end of a document as a word hash; also what stands before its first word.
 _END = np.uint64(0xE2D0F7E87)
 _LOG10 = np.log(10.0)
@@ -27,7 +32,11 @@ _LOG10 = np.log(10.0)
 
 @dataclass
 class Vocabulary:
-    """Counts over the training tokens: the head by sorted hash, and sums for all of them."""
+    """Counts over the training tokens: the head by sorted hash, and sums for all of them.
+
+    Classes are the WORDS most frequent words, the ENDINGS, then the groups. A group has the own
+    words ``starts[g]`` to ``starts[g + 1]``, whose counts are ``own_counts``; ``own`` is the number of a head word among them, or -1.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -37,6 +46,14 @@ class Vocabulary:
     ending_tokens: np.ndarray
     ending_words: np.ndarray
     class_tokens: np.ndarray
+    own: np.ndarray
+    own_counts: np.ndarray
+    starts: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        """Numbers of classes and of own words."""
+        return len(self.class_tokens), len(self.own_counts)
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word in the head, and whether it is there."""
@@ -49,6 +66,14 @@ class Vocabulary:
         own = self.classes[at]
         return np.where(known & (own >= 0), own, WORDS + endings).astype(np.int64)
 
+    def own_of(self, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Number of each word among the own words of the groups, or -1."""
+        return np.where(known, self.own[at], -1).astype(np.int64) if len(self.hashes) else np.full(len(at), -1, np.int64)
+
+    def inputs(self, classes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Row of each word's input vector: its class, or for an own word one after all classes."""
+        return np.where(own >= 0, len(self.class_tokens) + own, classes)
+
 
 def _endings(block: Block) -> np.ndarray:
     """Class of each word by its last two bytes, punctuation and digits left as they are."""
@@ -75,24 +100,30 @@ def _context(classes: np.ndarray, doc: np.ndarray, end_class: int) -> np.ndarray
 
 
 class Model:
-    """score(w | context) = q_w . sum_i C_i r_i + b_w, over CLASSES classes."""
-
-    SHAPES = ((CLASSES, DIMENSION), (CONTEXT, DIMENSION, DIMENSION), (CLASSES, DIMENSION), (CLASSES,))
+    """score(w | context) = q_w . sum_i C_i r_i + b_w, over classes, and over the own words of each group."""
 
-    def __init__(self, flat: np.ndarray) -> None:
+    def __init__(self, flat: np.ndarray, classes: int = CLASSES, words: int = 0) -> None:
+        self.classes, self.words = classes, words
         self.parts, at = [], 0
-        for shape in self.SHAPES:
+        for shape in self.shapes(classes, words):
             size = int(np.prod(shape))
             self.parts.append(np.array(flat[at : at + size], np.float32).reshape(shape))
             at += size
 
+    @staticmethod
+    def shapes(classes: int, words: int) -> tuple:
+        """Input vectors, C, and q and b of classes and of own words."""
+        return ((classes + words, DIMENSION), (CONTEXT, DIMENSION, DIMENSION), (classes, DIMENSION), (classes,), (words, DIMENSION), (words,))
+
     @classmethod
-    def start(cls, class_tokens: np.ndarray) -> Model:
+    def start(cls, class_tokens: np.ndarray, own_counts: np.ndarray = np.zeros(0)) -> Model:
         """Small random vectors, and the unigram model as bias."""
         random = np.random.default_rng(7)
-        size = sum(int(np.prod(s)) for s in cls.SHAPES) - CLASSES
-        flat = np.append(random.normal(0, 0.1, size), np.log((class_tokens + 1.0) / (class_tokens + 1.0).sum()))
-        model = cls(flat)
+        classes, words = len(class_tokens), len(own_counts)
+        size = sum(int(np.prod(s)) for s in cls.shapes(classes, words)[:3])
+        log = np.log((class_tokens + 1.0) / (class_tokens + 1.0).sum())
+        flat = np.concatenate([random.normal(0, 0.1, size), log, np.zeros(words * DIMENSION), np.log(own_counts)])
+        model = cls(flat, classes, words)
         model.parts[1][:] = np.eye(DIMENSION, dtype=np.float32) / CONTEXT
         return model
 
@@ -100,7 +131,7 @@ class Model:
         return np.concatenate([p.reshape(-1) for p in self.parts])
 
     def predict(self, before: np.ndarray) -> np.ndarray:
-        r, c, _, _ = self.parts
+        r, c = self.parts[:2]
         return sum(r[before[i]] @ c[i] for i in range(CONTEXT))
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -109,39 +140,75 @@ class Model:
         The normaliser depends on the context alone, so it is taken once for each
         distinct context, in batches of matrix products.
         """
-        _, _, q, b = self.parts
+        _, _, q, b, _, _ = self.parts
         key = before[0]
         for i in range(1, CONTEXT):
-            key = key * CLASSES + before[i]
+            key = key * (self.classes + self.words) + before[i]
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         predicted = self.predict(before[:, first])
         normaliser = np.empty(len(distinct), np.float32)
-        for i in range(0, len(distinct), BATCH):
-            scores = predicted[i : i + BATCH] @ q.T + b
-            top = scores.max(1)
-            normaliser[i : i + BATCH] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+        step = 128  # the scores of so many contexts stay in the cache
+        for i in range(0, len(distinct), step):
+            normaliser[i : i + step] = _log_sum(predicted[i : i + step] @ q.T + b)
         out = np.empty(len(target), np.float64)
         for i in range(0, len(target), 1 << 16):
             t, k = target[i : i + (1 << 16)], back[i : i + (1 << 16)]
             out[i : i + (1 << 16)] = np.einsum("ij,ij->i", predicted[k], q[t]) + b[t] - normaliser[k]
         return out
 
+    def own_log_probabilities(self, before: np.ndarray, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each own word within its group, normalised over the group."""
+        wq, wb = self.parts[4:]
+        out = np.empty(len(own), np.float64)
+        for g, rows in _by_group(own, starts):
+            a, b = starts[g], starts[g + 1]
+            scores = self.predict(before[:, rows]) @ wq[a:b].T + wb[a:b]
+            out[rows] = scores[np.arange(len(rows)), own[rows] - a] - _log_sum(scores)
+        return out
+
+
+def _log_sum(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(1)
+    return top + np.log(np.exp(scores - top[:, None]).sum(1))
+
+
+def _by_group(own: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group that occurs, and the places of its words, BATCH at most at a time."""
+    group = np.searchsorted(starts, own, "right") - 1
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(len(starts)))
+    for g in np.flatnonzero(np.diff(ends)).tolist():
+        for i in range(ends[g], ends[g + 1], BATCH):
+            yield g, order[i : min(i + BATCH, ends[g + 1])]
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    distinct, starts = np.unique(rows[order], return_index=True)
+    return distinct, np.add.reduceat(values[order], starts, axis=0)
+
 
 class Trainer:
     """Noise-contrastive estimation with Adagrad; a batch shares its noise words."""
 
-    def __init__(self, model: Model, class_tokens: np.ndarray, seed: int) -> None:
+    def __init__(self, model: Model, class_tokens: np.ndarray, seed: int, own_counts: np.ndarray = np.zeros(0), starts: np.ndarray = np.zeros(1, np.int64)) -> None:
         self.model = model
         self._noise = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
         self._cumulative = np.cumsum(self._noise)
         self._log = np.log(NOISE * self._noise).astype(np.float32)
-        self._squares = [np.full(p.shape, 1e-6, np.float32) for p in model.parts]
+        self._squares = [np.full(p.shape, 1e-6, np.float32) for p in model.parts[:4]]
+        # Gradients of own words are sums over their few occurrences, so that a rare word moves little.
+        self._own_squares = [np.ones(p.shape, np.float32) for p in model.parts[4:]]
+        self._starts, self._own_cumulative = starts, np.append(0, np.cumsum(own_counts))
+        totals = np.repeat(np.diff(self._own_cumulative[starts]), np.diff(starts))
+        self._own_log = np.log(GROUP_NOISE * own_counts / totals).astype(np.float32)
         self._random = np.random.default_rng(seed)
 
     def batch(self, before: np.ndarray, target: np.ndarray) -> None:
-        r, c, q, b = self.model.parts
+        r, c, q, b = self.model.parts[:4]
         n = len(target)
-        noise = np.minimum(np.searchsorted(self._cumulative, self._random.random(NOISE)), CLASSES - 1)
+        noise = np.minimum(np.searchsorted(self._cumulative, self._random.random(NOISE)), len(q) - 1)
         predicted = self.model.predict(before)
         good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", predicted, q[target]) + b[target] - self._log[target])))
         bad = 1 / (1 + np.exp(-(predicted @ q[noise].T + b[noise] - self._log[noise])))
@@ -149,24 +216,35 @@ class Trainer:
         push = -bad / n
         onto = pull[:, None] * q[target] + push @ q[noise]
         gq, gb = np.zeros_like(q), np.zeros_like(b)
-        seen = np.zeros((CLASSES, DIMENSION), np.float32)
-        order = np.argsort(target, kind="stable")
-        rows, starts = np.unique(target[order], return_index=True)
-        seen[rows] = np.add.reduceat(pull[order, None] * predicted[order], starts, axis=0)
-        gq += seen
-        gb[rows] = np.add.reduceat(pull[order], starts)
+        rows, seen = _summed(target, np.column_stack([pull[:, None] * predicted, pull]))
+        gq[rows], gb[rows] = seen[:, :-1], seen[:, -1]
         np.add.at(gq, noise, push.T @ predicted)
         np.add.at(gb, noise, push.sum(0))
-        gr, gc = np.zeros_like(r), np.empty_like(c)
-        for i in range(CONTEXT):
-            inputs = r[before[i]]
-            gc[i] = inputs.T @ onto
-            order = np.argsort(before[i], kind="stable")
-            rows, starts = np.unique(before[i][order], return_index=True)
-            gr[rows] += np.add.reduceat((onto @ c[i].T)[order], starts, axis=0)
-        for part, grad, squares in zip(self.model.parts, (gr, gc, gq, gb), self._squares):
-            squares += grad * grad
-            part += RATE * grad / np.sqrt(squares)
+        gc = np.stack([r[before[i]].T @ onto for i in range(CONTEXT)])
+        # Few of the input vectors are in a batch.
+        rows, gr = _summed(before.reshape(-1), np.concatenate([onto @ c[i].T for i in range(CONTEXT)]))
+        for part, grad, squares, at in zip(self.model.parts, (gr, gc, gq, gb), self._squares, (rows, slice(None), slice(None), slice(None))):
+            squares[at] += grad * grad
+            part[at] += RATE * grad / np.sqrt(squares[at])
+
+    def own_words(self, before: np.ndarray, own: np.ndarray) -> None:
+        """Teach own words against noise from their group, given the vectors predicted from their contexts."""
+        wq, wb = self.model.parts[4:]
+        sums = self._own_cumulative
+        for g, rows in _by_group(own, self._starts):
+            a, b = self._starts[g], self._starts[g + 1]
+            noise = np.searchsorted(sums, sums[a] + self._random.random(GROUP_NOISE) * (sums[b] - sums[a]), "right") - 1
+            noise = np.clip(noise, a, b - 1)
+            target, predicted = own[rows], self.model.predict(before[:, rows])
+            total = np.float32(np.log(sums[b] - sums[a]))  # biases are logs of counts
+            good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", predicted, wq[target]) + wb[target] - total - self._own_log[target])))
+            bad = 1 / (1 + np.exp(-(predicted @ wq[noise].T + wb[noise] - total - self._own_log[noise])))
+            pull = (1 - good)[:, None]
+            values = np.concatenate([np.column_stack([pull * predicted, pull]), np.column_stack([-bad.T @ predicted, -bad.sum(0)])])
+            at, grad = _summed(np.append(target, noise), values)
+            for part, step, squares in zip((wq, wb), (grad[:, :-1], grad[:, -1]), self._own_squares):
+                squares[at] += step * step
+                part[at] += RATE * step / np.sqrt(squares[at])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -193,15 +271,20 @@ def count_tokens(training: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The bounded head and the sums per ending class; counts of other words stay in Spark.
+    """The head, the groups of own words and the sums per ending class; counts of other words stay in Spark.
 
-    The head has every word of at least the smallest count that at most ``head`` words reach.
+    The head has every word of at least the smallest count that at most ``head`` words reach, and every
+    own word. Own words are those of at least max(LEAST, ROOT * sqrt(tokens)) occurrences beyond the first
+    WORDS, so their number grows with the corpus; ordered by ending they are cut into groups of about the
+    square root of their number.
     """
     scale = F.floor(F.log2("n") * 16).cast("int")  # steps of 4.4 %, so a table of a few hundred rows
     steps = counts.groupBy(scale.alias("step")).agg(F.count("*").alias("words")).toPandas().sort_values("step", ascending=False)
     fitting = steps["step"][steps["words"].cumsum() <= head]
     least = int(fitting.min()) if len(fitting) else 1 << 30
-    top = counts.where(scale >= least).toPandas().sort_values(["n", "hash"], ascending=[False, True])
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    enough = max(LEAST, ROOT * total**0.5)
+    top = counts.where((scale >= least) | (F.col("n") >= enough)).toPandas().sort_values(["n", "hash"], ascending=[False, True])
     sums = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
     tokens, words = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
     for row in sums:
@@ -209,52 +292,96 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     hashes = top["hash"].to_numpy(np.int64).view(np.uint64)
     classes = np.full(len(top), -1, np.int32)
     classes[: min(WORDS, len(top))] = np.arange(min(WORDS, len(top)))
-    own = top.iloc[:WORDS]
-    class_tokens = np.zeros(CLASSES, np.int64)
-    class_tokens[: len(own)] = own["n"]
-    total, distinct = int(tokens.sum()), int(words.sum())
-    np.subtract.at(tokens, own["ending"].to_numpy(int), own["n"].to_numpy(np.int64))
-    np.subtract.at(words, own["ending"].to_numpy(int), 1)
-    class_tokens[WORDS:] = tokens
+    places = np.arange(len(top))
+    n, ending = top["n"].to_numpy(np.int64), top["ending"].to_numpy(np.int64)
+    grouped = np.flatnonzero((places >= WORDS) & (n >= enough))
+    grouped = grouped[np.argsort(ending[grouped], kind="stable")]
+    groups = int(np.ceil(len(grouped) ** 0.5))
+    starts = (np.arange(groups + 1) * len(grouped) // max(groups, 1)).astype(np.int64)
+    own = np.full(len(top), -1, np.int32)
+    own[grouped] = np.arange(len(grouped))
+    classes[grouped] = CLASSES + np.repeat(np.arange(groups), np.diff(starts))
+    class_tokens = np.zeros(CLASSES + groups, np.int64)
+    held = np.flatnonzero(classes >= 0)
+    np.add.at(class_tokens, classes[held], n[held])
+    distinct = int(words.sum())
+    np.subtract.at(tokens, ending[held], n[held])
+    np.subtract.at(words, ending[held], 1)
+    class_tokens[WORDS:CLASSES] = tokens
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], top["n"].to_numpy(np.int64)[order], classes[order], total, distinct, tokens, words, class_tokens)
+    return Vocabulary(hashes[order], n[order], classes[order], int(total), distinct, tokens, words, class_tokens, own[order], n[grouped], starts)
 
 
-def _end_class(vocab: Vocabulary) -> int:
+def _end_input(vocab: Vocabulary) -> int:
     one = np.array([_END])
-    return int(vocab.classes_of(one, np.zeros(1, np.int64), *vocab.find(one))[0])
+    at, known = vocab.find(one)
+    return int(vocab.inputs(vocab.classes_of(one, np.zeros(1, np.int64), at, known), vocab.own_of(at, known))[0])
+
+
+def _chunks(model: Model, n: int, seen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, rows and weights of all parameters: those of an own word are weighted by its occurrences, all others by tokens."""
+    r, c, q, b, wq, wb = model.parts
+    shared = np.concatenate([x.reshape(-1) for x in (r[: model.classes], c, q, b)])
+    yield 0, shared[:, None], np.full(len(shared), n, np.float64)
+    rows = np.column_stack([r[model.classes :], wq, wb])
+    for k, i in enumerate(range(0, model.words, CHUNK)):
+        yield k + 1, rows[i : i + CHUNK], seen[i : i + CHUNK] + 1e-3
+
+
+def _joined(chunks: list[np.ndarray], classes: int, words: int) -> np.ndarray:
+    """The flat parameters from the rows of all chunks in order."""
+    shared = chunks[0].reshape(-1)
+    rows = np.concatenate([np.zeros((0, 2 * DIMENSION + 1)), *(x.reshape(-1, 2 * DIMENSION + 1) for x in chunks[1:])])
+    at = classes * DIMENSION
+    return np.concatenate([shared[:at], rows[:, :DIMENSION].reshape(-1), shared[at:], rows[:, DIMENSION:-1].reshape(-1), rows[:, -1]])
+
+
+def _mean(frame: pd.DataFrame) -> pd.DataFrame:
+    total, weights = 0.0, 0.0
+    for value, weight in zip(frame["value"], frame["weight"]):
+        weight = np.frombuffer(weight, np.float64)
+        total = total + np.frombuffer(value, np.float32).reshape(len(weight), -1) * weight[:, None]
+        weights = weights + weight
+    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "value": [(total / weights[:, None]).astype(np.float32).tobytes()]})
 
 
 def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after ``rounds`` passes over all texts.
 
     In each round every task trains a copy on its own documents, and Spark averages the
-    copies by their numbers of tokens; only the average, of a fixed size, reaches the driver.
+    copies by their numbers of tokens, own words by their numbers of occurrences; only the
+    average reaches the driver, which holds 132 bytes for each own word.
     """
     spark = training.sparkSession
-    flat = Model.start(vocab.class_tokens).flat()
+    flat = Model.start(vocab.class_tokens, vocab.own_counts).flat()
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, flat))
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocab, flat = shared.value
-            trainer, end, n = Trainer(Model(flat), vocab.class_tokens, 11), _end_class(vocab), 0
+            trainer, end, n = Trainer(Model(flat, *vocab.shape), vocab.class_tokens, 11, vocab.own_counts, vocab.starts), _end_input(vocab), 0
+            seen = np.zeros(len(vocab.own_counts), np.int64)
             for batch in batches:
                 for block in blocks(batch.column("text")):
                     words, endings, doc = _tokens(block.lower())
-                    classes = vocab.classes_of(words, endings, *vocab.find(words))
-                    before = _context(classes, doc, end)
+                    at, known = vocab.find(words)
+                    classes, own = vocab.classes_of(words, endings, at, known), vocab.own_of(at, known)
+                    before = _context(vocab.inputs(classes, own), doc, end)
                     for i in range(0, len(classes), BATCH):
                         trainer.batch(before[:, i : i + BATCH], classes[i : i + BATCH])
+                    held = np.flatnonzero(own >= 0)
+                    for i in range(0, len(held), LESSON):
+                        trainer.own_words(before[:, held[i : i + LESSON]], own[held[i : i + LESSON]])
+                    seen += np.bincount(own[held], minlength=len(seen))
                     n += len(classes)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.model.flat().tolist()], pa.list_(pa.float32())), pa.array([n], pa.int64())], ["flat", "n"])
+            for chunk, value, weight in _chunks(trainer.model, n, seen) if n else ():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([value.astype(np.float32).tobytes()]), pa.array([weight.astype(np.float64).tobytes()])], ["chunk", "value", "weight"])
 
-        copies = training.select("text").mapInArrow(fit, "flat ARRAY<FLOAT>, n BIGINT").select("n", F.posexplode("flat").alias("at", "value"))
-        mean = copies.groupBy("at").agg((F.sum(F.col("value").cast("double") * F.col("n")) / F.sum("n")).alias("value")).toPandas()
+        copies = training.select("text").mapInArrow(fit, "chunk BIGINT, value BINARY, weight BINARY")
+        mean = copies.groupBy("chunk").applyInPandas(_mean, "chunk BIGINT, value BINARY").toPandas()
         if len(mean):
-            flat = mean.sort_values("at")["value"].to_numpy()
-    return flat
+            flat = _joined([np.frombuffer(x, np.float32) for x in mean.sort_values("chunk")["value"]], *vocab.shape)
+    return flat.astype(np.float32)
 
 
 _SCORED = "hash BIGINT, row BIGINT, n INT, n_tokens BIGINT, n_known BIGINT, logs DOUBLE, score DOUBLE"
@@ -265,9 +392,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     A null or empty text is its end token alone. Each row is scored by itself, so
     repeated rows and ids stay; without training rows every token is unknown and the
-    model is uniform. Words are compared by 64-bit hashes. A word outside the
-    classes has its class's probability times (count + 1) / (tokens + words + 1) of
-    that class, so the probabilities of all words and of one unknown word add up to 1.
+    model is uniform. Words are compared by 64-bit hashes. An own word has its
+    group's probability times its probability within the group. A word without vectors
+    has its ending's probability times (count + 1) / (tokens + words + 1) of
+    that ending, so the probabilities of all words and of one unknown word add up to 1.
     """
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
@@ -278,7 +406,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat = shared.value
-        model, end = Model(flat), _end_class(vocab)
+        model, end = Model(flat, *vocab.shape), _end_input(vocab)
         spread = np.log10(vocab.ending_tokens + vocab.ending_words + 1.0)
         log_counts = np.log10(vocab.counts + 1.0)
         for batch in batches:
@@ -287,8 +415,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 words, endings, doc = _tokens(block.lower())
                 at, known = vocab.find(words)
                 classes = vocab.classes_of(words, endings, at, known)
-                found = model.log_probabilities(_context(classes, doc, end), classes) / _LOG10
-                shared_class = classes >= WORDS
+                own_word = vocab.own_of(at, known)
+                before = _context(vocab.inputs(classes, own_word), doc, end)
+                found = model.log_probabilities(before, classes)
+                held = np.flatnonzero(own_word >= 0)
+                found[held] += model.own_log_probabilities(before[:, held], own_word[held], vocab.starts)
+                found /= _LOG10
+                shared_class = (classes >= WORDS) & (classes < CLASSES)
                 found[shared_class] -= spread[classes[shared_class] - WORDS]
                 logs = np.zeros(len(words))
                 if len(log_counts):
@@ -304,11 +437,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 starts = np.flatnonzero(new)
                 n = np.diff(np.append(starts, len(keys)))
                 own = np.arange(len(block))  # one row for each document, with a hash that counts nothing
-                size, held = len(starts), rows[block.rows]
+                size, row = len(starts), rows[block.rows]
                 zeros = np.zeros(size)
                 columns = [
-                    np.append(keys[starts, 1], mix(held.astype(np.uint64))).view(np.int64),
-                    np.append(held[keys[starts, 0].astype(np.int64)], held),
+                    np.append(keys[starts, 1], mix(row.astype(np.uint64))).view(np.int64),
+                    np.append(row[keys[starts, 0].astype(np.int64)], row),
                     np.append(n, np.zeros(len(own), np.int64)).astype(np.int32),
                     np.append(zeros, per_doc(None)).astype(np.int64),
                     np.append(zeros, per_doc(known)).astype(np.int64),

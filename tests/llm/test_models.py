@@ -58,6 +58,32 @@ def test_probabilities_are_normalised():
     assert np.exp(model.log_probabilities(before, np.arange(lm.CLASSES))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_rare_words_are_told_apart_by_their_contexts(docs):
+    """Beyond the words with classes: equal words, counts and endings, but not the order they were learnt in."""
+    common = [f"w{i}q" for i in range(lm.WORDS + 20)]
+    left, right = ([f"{c}{i}zz" for i in range(30)] for c in "ab")
+    texts = [" ".join(random.choices(common, k=1000)) for _ in range(400)] + [sentence(random.choice([left, right]), 80) for _ in range(240)]
+    texts = random.sample(texts, len(texts))
+    pairs = [(random.choices(left, k=10), random.choices(right, k=10)) for _ in range(60)]
+    for a, b in pairs:
+        texts += [" ".join(a + b), " ".join(w for pair in zip(a, b) for w in pair)]
+    ids = [i for i in range(10**5) if not held(i, 7, 2)][: len(texts) - 120] + [i for i in range(10**5) if held(i, 7, 2)][:120]
+    found = {r.doc_id: r for r in lm.score(docs(texts, ids)).collect()}
+    learnt, mixed = ([found[i] for i in ids[-120:][k::2]] for k in (0, 1))
+    assert sum(r.base_score for r in learnt) == pytest.approx(sum(r.base_score for r in mixed))
+    tokens = sum(r.n_tokens for r in learnt)
+    assert sum(r.score for r in learnt) / tokens > sum(r.score for r in mixed) / tokens + 0.01
+
+
+def test_own_words_are_normalised_within_their_group():
+    counts, starts = np.array([50, 20, 10, 40, 30]), np.array([0, 3, 5])
+    model = lm.Model.start(np.ones(lm.CLASSES + 2), counts)
+    model.parts[4][:] = np.random.default_rng(3).normal(0, 1, model.parts[4].shape)
+    before = np.tile(np.array([[5], [lm.CLASSES + 4]]), 5)
+    found = np.exp(model.own_log_probabilities(before, np.arange(5), starts))
+    assert found[:3].sum() == pytest.approx(1, abs=1e-5) and found[3:].sum() == pytest.approx(1, abs=1e-5)
+
+
 def test_scores_without_training_rows(docs):
     assert lm.score(docs([])).count() == 0
     only = next(i for i in range(100) if held(i, 7, 2))
