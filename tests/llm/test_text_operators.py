@@ -5,6 +5,7 @@ import random
 import re
 
 import naive_llm as naive
+import numpy as np
 import pytest
 
 from lexispectra.llm import decontaminate, near, quality, substrings
@@ -175,3 +176,11 @@ def test_decontamination_of_repeated_and_null_ids(docs, rows, spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id BIGINT, text STRING")
     found = rows(decontaminate.contamination(docs(["one two three", "one two", "one two three", None], [1, 1, None, None]), bench))
     assert sorted(r.n_hit for r in found[1]) == [0, 3] and sorted(r.n_hit for r in found[None]) == [0, 3]
+
+
+def test_bands_of_small_sets_agree_as_often_as_those_of_large_ones():
+    """Sets of 4 shingles and 3 of them: 0.75 ** 4 of the bands; 0.5 ** 2 if a band had both ends of a permutation."""
+    hashes = np.sort(np.random.default_rng(4).integers(0, 1 << 63, (2000, 4), dtype=np.uint64), 1)
+    four = near.band_keys(near.signatures(hashes.reshape(-1), np.arange(0, 8001, 4)))
+    three = near.band_keys(near.signatures(hashes[:, :3].reshape(-1), np.arange(0, 6001, 3)))
+    assert (four == three).mean() == pytest.approx(0.75**4, abs=0.02)
