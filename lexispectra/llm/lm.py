@@ -23,8 +23,8 @@ DIMENSION, CONTEXT = 16, 2
 #: Most frequent words whose counts go to every task; the counts of all others are joined.
 HEAD = 1 << 17
 BATCH, NOISE, RATE, ROUNDS = 1024, 64, 0.1, 1
-#: Own words that are taught together, noise words for those of one group, and rows of a model that travel together.
-LESSON, GROUP_NOISE, CHUNK = 65_536, 32, 4096
+#: Own words that are taught together for each group there is, noise words for those of one group, and rows of a model that travel together.
+LESSON, GROUP_NOISE, CHUNK = 256, 32, 4096
 #: The end of a document as a word hash; also what stands before its first word.
 _END = np.uint64(0xE2D0F7E87)
 _LOG10 = np.log(10.0)
@@ -370,8 +370,9 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.nd
                     for i in range(0, len(classes), BATCH):
                         trainer.batch(before[:, i : i + BATCH], classes[i : i + BATCH])
                     held = np.flatnonzero(own >= 0)
-                    for i in range(0, len(held), LESSON):
-                        trainer.own_words(before[:, held[i : i + LESSON]], own[held[i : i + LESSON]])
+                    lesson = LESSON * len(vocab.starts)
+                    for i in range(0, len(held), lesson):
+                        trainer.own_words(before[:, held[i : i + lesson]], own[held[i : i + lesson]])
                     seen += np.bincount(own[held], minlength=len(seen))
                     n += len(classes)
             for chunk, value, weight in _chunks(trainer.model, n, seen) if n else ():
