@@ -117,3 +117,57 @@ kept AS (
   SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM numbered ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def common_lines() -> str:
+    """Documents counted for each stripped line."""
+    return f"""
+WITH l AS (
+  SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS number FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{urls.UPPER}', '{urls.LOWER}') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY number) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common USING (key) GROUP BY doc_id"""
+
+
+def search() -> str:
+    """Every document scored for every item that shares a term with it."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+sized AS (SELECT doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+wanted AS (SELECT DISTINCT item_id, unnest({words}) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, totals GROUP BY term, n_docs),
+impacts AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS part
+  FROM tf JOIN weights USING (term) JOIN sized USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+def collocations() -> str:
+    """All phrases of one to five words, counted."""
+    lower = f"translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}')"
+    return f"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({lower}, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents)),
+grams AS MATERIALIZED (
+  SELECT lang, w[r.i : r.i + k.k - 1] AS g, count(*) AS f
+  FROM p, unnest(range(1, 6)) AS k(k), unnest(range(1, len(w) + 1)) AS r(i) WHERE r.i + k.k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+cuts AS MATERIALIZED (SELECT lang, g, f, c.c AS c FROM grams, unnest(range(1, 5)) AS c(c) WHERE c.c < len(g)),
+scored AS (
+  SELECT cuts.lang, cuts.g, cuts.f AS a, c, x.f AS l, y.f AS r, n,
+    ((1000::HUGEINT * cuts.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN grams x ON x.lang = cuts.lang AND x.g = cuts.g[1 : c] JOIN grams y ON y.lang = cuts.lang AND y.g = cuts.g[c + 1 : len(cuts.g)] JOIN totals ON totals.lang = cuts.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+covered AS (
+  SELECT lang, g[1 : len(g) - 1] AS g, f FROM grams WHERE len(g) > 2 UNION SELECT lang, g[2 : len(g)], f FROM grams WHERE len(g) > 2),
+alone AS (SELECT *, array_to_string(g, ' ') AS phrase FROM least WHERE NOT EXISTS (SELECT 1 FROM covered x WHERE x.lang = least.lang AND x.g = least.g AND x.f >= least.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM alone QUALIFY rank <= 2000"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispectra.llm import decontaminate, lm, near, oracles, packing, quality, substrings, tokenfile, toxicity, urls, warc
+from lexispectra.llm import decontaminate, lines, lm, near, oracles, packing, phrases, quality, search, substrings, tokenfile, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_substring_dedup", oracles.substrings())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_line_dedup", oracles.common_lines())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_lexical_search", oracles.search())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_collocations", oracles.collocations())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
