@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispectra.llm.text import Block, blocks, mix
+from lexispectra.llm.text import Block, blocks, groups, mix
 from lexispectra.runtime import stage
 
 #: Frequent words with a class of their own, and classes by their last bytes of the words without vectors.
@@ -22,6 +21,10 @@ LEAST, ROOT = 10, 0.01
 DIMENSION, CONTEXT = 16, 2
 #: Most frequent words whose counts go to every task; the counts of all others are joined.
 HEAD = 1 << 17
+#: Most words with vectors of their own (132 bytes each); in a corpus where more reach that count, it rises.
+MOST_OWN = 1 << 20
+#: Tokens that one copy of the model learns from, and copies or sums that one task adds up.
+COPY_TOKENS, FAN_IN = 1 << 22, 16
 BATCH, NOISE, RATE, ROUNDS = 1024, 64, 0.1, 1
 #: Own words that are taught together for each group there is, noise words for those of one group, and rows of a model that travel together.
 LESSON, GROUP_NOISE, CHUNK = 256, 32, 4096
@@ -248,7 +251,9 @@ class Trainer:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id, text, and their hashes, by which a row is known wherever it is computed."""
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return given.withColumns({"kid": F.xxhash64("id"), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def held_out(doc_id, folds: int = 7, fold: int = 2):
@@ -275,8 +280,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
     The head has every word of at least the smallest count that at most ``head`` words reach, and every
     own word. Own words are those of at least max(LEAST, ROOT * sqrt(tokens)) occurrences beyond the first
-    WORDS, so their number grows with the corpus; ordered by ending they are cut into groups of about the
-    square root of their number.
+    WORDS, so their number grows with the corpus up to MOST_OWN; ordered by ending they are cut into groups of about
+    the square root of their number.
     """
     scale = F.floor(F.log2("n") * 16).cast("int")  # steps of 4.4 %, so a table of a few hundred rows
     steps = counts.groupBy(scale.alias("step")).agg(F.count("*").alias("words")).toPandas().sort_values("step", ascending=False)
@@ -284,6 +289,9 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     least = int(fitting.min()) if len(fitting) else 1 << 30
     total = counts.agg(F.sum("n")).first()[0] or 0
     enough = max(LEAST, ROOT * total**0.5)
+    reached = steps["words"].cumsum() <= MOST_OWN
+    if not reached.all():
+        enough = max(enough, 2 ** ((steps["step"][reached].min() if reached.any() else 1 << 10) / 16))
     top = counts.where((scale >= least) | (F.col("n") >= enough)).toPandas().sort_values(["n", "hash"], ascending=[False, True])
     sums = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
     tokens, words = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
@@ -319,13 +327,14 @@ def _end_input(vocab: Vocabulary) -> int:
 
 
 def _chunks(model: Model, n: int, seen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Number, rows and weights of all parameters: those of an own word are weighted by its occurrences, all others by tokens."""
+    """Number, rows times weights, and weights of all parameters: those of an own word are weighted by its occurrences, all others by tokens."""
     r, c, q, b, wq, wb = model.parts
     shared = np.concatenate([x.reshape(-1) for x in (r[: model.classes], c, q, b)])
-    yield 0, shared[:, None], np.full(len(shared), n, np.float64)
+    yield 0, shared[None, :] * np.float64(n), np.full(1, n, np.float64)
     rows = np.column_stack([r[model.classes :], wq, wb])
     for k, i in enumerate(range(0, model.words, CHUNK)):
-        yield k + 1, rows[i : i + CHUNK], seen[i : i + CHUNK] + 1e-3
+        weight = seen[i : i + CHUNK] + 1e-3
+        yield k + 1, rows[i : i + CHUNK] * weight[:, None], weight
 
 
 def _joined(chunks: list[np.ndarray], classes: int, words: int) -> np.ndarray:
@@ -336,32 +345,54 @@ def _joined(chunks: list[np.ndarray], classes: int, words: int) -> np.ndarray:
     return np.concatenate([shared[:at], rows[:, :DIMENSION].reshape(-1), shared[at:], rows[:, DIMENSION:-1].reshape(-1), rows[:, -1]])
 
 
-def _mean(frame: pd.DataFrame) -> pd.DataFrame:
-    total, weights = 0.0, 0.0
-    for value, weight in zip(frame["value"], frame["weight"]):
-        weight = np.frombuffer(weight, np.float64)
-        total = total + np.frombuffer(value, np.float32).reshape(len(weight), -1) * weight[:, None]
-        weights = weights + weight
-    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "value": [(total / weights[:, None]).astype(np.float32).tobytes()]})
+_COPIES = "part INT, chunk BIGINT, value BINARY, weight BINARY"
+
+
+def _added(copies: DataFrame, parts: int) -> DataFrame:
+    """Sums of the chunks of all copies, FAN_IN at a time, so that no task takes more however many copies there are."""
+
+    def add(key: tuple, some: pa.Table) -> pa.Table:
+        sums = [sum(np.frombuffer(x.as_py(), np.float64) for x in some.column(c)) for c in ("value", "weight")]
+        columns = [pa.array([k.as_py()], t) for k, t in zip(key, (pa.int32(), pa.int64()))]
+        return pa.table([*columns, *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=["part", "chunk", "value", "weight"])
+
+    while True:
+        parts = -(-parts // FAN_IN)
+        fewer = F.floor(F.col("part") / FAN_IN).cast("int").alias("part")
+        copies = copies.select(fewer, "chunk", "value", "weight").groupBy("part", "chunk").applyInArrow(add, _COPIES)
+        if parts <= 1:
+            return copies
+
+
+def _divided(value: bytes, weight: bytes) -> np.ndarray:
+    weight = np.frombuffer(weight, np.float64)
+    return np.frombuffer(value, np.float64).reshape(len(weight), -1) / weight[:, None]
 
 
 def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after ``rounds`` passes over all texts.
 
-    In each round every task trains a copy on its own documents, and Spark averages the
+    The texts are dealt by their hashes to as many copies of the model as there are COPY_TOKENS tokens, and
+    sorted, so what is learnt depends on the texts alone and not on how they are stored. In each round every
+    copy is trained on its own documents, and Spark averages the
     copies by their numbers of tokens, own words by their numbers of occurrences; only the
     average reaches the driver, which holds 132 bytes for each own word.
     """
     spark = training.sparkSession
+    copies = max(1, -(-vocab.tokens // COPY_TOKENS))
+    dealt = training.select("text", "th", "kid").repartition(copies, "th", "kid").sortWithinPartitions("th", "kid")
+    # The end of a copy's texts is known by the number of its partition.
+    dealt = dealt.select("text", F.spark_partition_id().alias("part"))
     flat = Model.start(vocab.class_tokens, vocab.own_counts).flat()
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, flat))
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocab, flat = shared.value
-            trainer, end, n = Trainer(Model(flat, *vocab.shape), vocab.class_tokens, 11, vocab.own_counts, vocab.starts), _end_input(vocab), 0
+            part, trainer, end, n = 0, Trainer(Model(flat, *vocab.shape), vocab.class_tokens, 11, vocab.own_counts, vocab.starts), _end_input(vocab), 0
             seen = np.zeros(len(vocab.own_counts), np.int64)
             for batch in batches:
+                part = batch.column("part")[0].as_py() if batch.num_rows else part
                 for block in blocks(batch.column("text")):
                     words, endings, doc = _tokens(block.lower())
                     at, known = vocab.find(words)
@@ -376,23 +407,20 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.nd
                     seen += np.bincount(own[held], minlength=len(seen))
                     n += len(classes)
             for chunk, value, weight in _chunks(trainer.model, n, seen) if n else ():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([value.astype(np.float32).tobytes()]), pa.array([weight.astype(np.float64).tobytes()])], ["chunk", "value", "weight"])
+                columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (value, weight))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "value", "weight"])
 
-        copies = training.select("text").mapInArrow(fit, "chunk BIGINT, value BINARY, weight BINARY")
-        mean = copies.groupBy("chunk").applyInPandas(_mean, "chunk BIGINT, value BINARY").toPandas()
-        if len(mean):
-            flat = _joined([np.frombuffer(x, np.float32) for x in mean.sort_values("chunk")["value"]], *vocab.shape)
+        sums = _added(dealt.mapInArrow(fit, _COPIES), copies).toPandas().sort_values("chunk")
+        if len(sums):
+            flat = _joined([_divided(v, w) for v, w in zip(sums["value"], sums["weight"])], *vocab.shape)
     return flat.astype(np.float32)
 
 
-_SCORED = "hash BIGINT, row BIGINT, n INT, n_tokens BIGINT, n_known BIGINT, logs DOUBLE, score DOUBLE"
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """Score every whole text by the model learnt from the rows outside the held-out fold.
 
-    A null or empty text is its end token alone. Each row is scored by itself, so
-    repeated rows and ids stay; without training rows every token is unknown and the
+    A null or empty text is its end token alone. Rows are known by hashes of id and text; those that share
+    both share their score and all stay; without training rows every token is unknown and the
     model is uniform. Words are compared by 64-bit hashes. An own word has its
     group's probability times its probability within the group. A word without vectors
     has its ending's probability times (count + 1) / (tokens + words + 1) of
@@ -404,6 +432,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     counts = stage(count_tokens(training), "token-counts")
     vocab = vocabulary(counts)
     shared = spark.sparkContext.broadcast((vocab, train(training, vocab)))
+    kind = texts.schema["id"].dataType.simpleString()
 
     def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat = shared.value
@@ -411,7 +440,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         spread = np.log10(vocab.ending_tokens + vocab.ending_words + 1.0)
         log_counts = np.log10(vocab.counts + 1.0)
         for batch in batches:
-            rows = batch.column("row").to_numpy()
             for block in blocks(batch.column("text")):
                 words, endings, doc = _tokens(block.lower())
                 at, known = vocab.find(words)
@@ -430,39 +458,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 found[shared_class] += logs[shared_class]
                 per_doc = lambda x: np.bincount(doc, x, len(block))
                 tail = np.flatnonzero(~known)
-                keys = np.stack([doc[tail].astype(np.uint64), words[tail]], 1)
-                order = np.lexsort((keys[:, 1], keys[:, 0]))
-                keys = keys[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]).any(1)
+                order, new = groups(doc[tail], words[tail])
                 starts = np.flatnonzero(new)
-                n = np.diff(np.append(starts, len(keys)))
-                own = np.arange(len(block))  # one row for each document, with a hash that counts nothing
-                size, row = len(starts), rows[block.rows]
-                zeros = np.zeros(size)
+                rare = tail[order[starts]]
+                n = np.diff(np.append(starts, len(order)))
+                # First a row for each document, under a hash that counts nothing; then its words beyond the head.
+                size, part = len(block), batch.slice(block.rows.start, len(block))
+                owner = pa.array(np.append(np.arange(size), doc[rare]))
+                whole = lambda x: np.append(x, np.zeros(len(rare), x.dtype))
+                own_hash = mix(part.column("th").to_numpy().view(np.uint64))
                 columns = [
-                    np.append(keys[starts, 1], mix(row.astype(np.uint64))).view(np.int64),
-                    np.append(row[keys[starts, 0].astype(np.int64)], row),
-                    np.append(n, np.zeros(len(own), np.int64)).astype(np.int32),
-                    np.append(zeros, per_doc(None)).astype(np.int64),
-                    np.append(zeros, per_doc(known)).astype(np.int64),
-                    np.append(zeros, per_doc(logs)),
-                    np.append(zeros, per_doc(found)),
+                    pa.array(np.append(own_hash, words[rare]).view(np.int64)),
+                    part.column("kid").take(owner),
+                    part.column("th").take(owner),
+                    pa.concat_arrays([part.column("id"), pa.nulls(len(rare), part.column("id").type)]),
+                    pa.array(whole(np.ones(size, np.int32))),
+                    pa.array(np.append(np.zeros(size, np.int64), n).astype(np.int32)),
+                    *(pa.array(whole(per_doc(x).astype(t))) for x, t in ((None, np.int64), (known, np.int64), (logs, np.float64), (found, np.float64))),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "row", "n", "n_tokens", "n_known", "logs", "score"])
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "kid", "th", "id", "rows", "n", "n_tokens", "n_known", "logs", "score"])
 
-    scored = texts.select("row", "text").mapInArrow(score_texts, _SCORED)
+    schema = f"hash BIGINT, kid BIGINT, th BIGINT, id {kind}, rows INT, n INT, n_tokens BIGINT, n_known BIGINT, logs DOUBLE, score DOUBLE"
+    scored = texts.select("kid", "th", "id", "text").mapInArrow(score_texts, schema)
     joined = scored.join(counts.select("hash", F.col("n").alias("c")), "hash", "left")
-    tail = F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)
-    sums = joined.groupBy("row").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        (F.sum("logs") + F.sum(tail)).alias("logs"),
-        (F.sum("score") + F.sum(tail)).alias("score"),
+    base, times = F.col("rows") > 0, F.sum("rows")
+    tail = F.sum(F.when(~base, F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).otherwise(0.0)) / times
+    one = lambda c: F.max(F.when(base, F.col(c)))
+    sums = joined.groupBy("kid", "th").agg(
+        F.max("id").alias(id_col),
+        times.alias("rows"),
+        one("n_tokens").alias("n_tokens"),
+        (one("n_known") + F.expr("sum(CASE WHEN rows = 0 AND c IS NOT NULL THEN n ELSE 0 END) DIV sum(rows)")).alias("n_known"),
+        (one("logs") + tail).alias("logs"),
+        (one("score") + tail).alias("score"),
     )
     per_token = float(np.log10(vocab.tokens + vocab.distinct + 1.0))
-    ids = texts.select("row", F.col("id").alias(id_col))
-    return ids.join(sums, "row").select(
+    return sums.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).select(
         id_col,
         held_out(F.col(id_col), folds, fold).alias("held_out"),
         "n_tokens",

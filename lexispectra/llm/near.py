@@ -72,7 +72,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, n, set (hash of the set), bands, signature (16 bits of each value) of documents that are not empty; n = 0 for the others."""
+    """id, th, n, set (hash of the set), bands, signature (16 bits of each value) of documents that are not empty; n = 0 for the others."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,14 +91,15 @@ def _signed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(block.rows.start, len(block))
                 columns = [
                     part.column("id"),
+                    part.column("th"),
                     pa.array(n.astype(np.int64)),
                     pa.array([s.tobytes() for s in sums], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))),
                     pa.array([s.tobytes() for s in short], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "set", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "set", "bands", "signature"])
 
-    return docs.mapInArrow(sign, f"id {kind}, n BIGINT, set BINARY, bands ARRAY<BIGINT>, signature BINARY")
+    return docs.mapInArrow(sign, f"id {kind}, th BIGINT, n BIGINT, set BINARY, bands ARRAY<BIGINT>, signature BINARY")
 
 
 class _Forest:
@@ -134,8 +135,8 @@ def _block_pairs(members: DataFrame, size: str, block: int) -> DataFrame:
 
 def _ends(frame: pd.DataFrame, links: list[tuple[int, int]]) -> pd.DataFrame:
     nodes = frame["node"].to_numpy()
-    a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
-    return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+    a, b = (nodes[np.array([x[k] for x in links], np.int64)] for k in (0, 1))
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def _similar(frame: pd.DataFrame) -> pd.DataFrame:
@@ -208,10 +209,44 @@ def _shingled(members: DataFrame) -> DataFrame:
     return members.mapInArrow(shingle, f"{schema}, hashes BINARY")
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th (hash of the text), n, root (smallest id reached) and first: whether the row stands for its group."""
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", th)
+    signed = stage(_signed(given), "signatures")
+    # A class is known by its set, so rows that share an id but not a set never meet; its row is the smallest by id and text.
+    classes = stage(
+        signed.where((F.col("n") > 0) & F.col("id").isNotNull())
+        .groupBy(F.col("set").alias("node"))
+        .agg(F.min(F.struct("id", "th")).alias("row"), F.first("n").alias("n"), F.min_by("bands", F.struct("id", "th")).alias("bands"), F.min_by("signature", F.struct("id", "th")).alias("signature")),
+        "classes",
+    )
+    dealt = classes.select("node", F.explode("bands").alias("key"))
+    buckets = stage(dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = classes.select("node", "n", "signature").join(dealt.join(buckets, "key").select("node", "key", "size"), "node")
+    met = _block_pairs(members, "size", BUCKET_BLOCK)
+    lots = max(1, -(-(buckets.agg(F.sum("size")).first()[0] or 0) // LOT))
+    compared = met.groupBy(F.pmod(F.xxhash64("key", "p", "q"), F.lit(lots)).alias("lot"))
+    clusters = components(compared.applyInPandas(_similar, "a BINARY, b BINARY"))
+    nodes = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
+    nodes = stage(nodes.join(sizes, "root").join(classes.select("node", "row"), "node").select("node", "root", "size", "row.id", "row.th"), "clusters")
+    texts = nodes.join(given, ["id", "th"]).select("node", "root", "size", "text").dropDuplicates(["node"])
+    confirmed = _block_pairs(_shingled(texts), "size", CLUSTER_BLOCK).groupBy("root", "p", "q")
+    found = components(confirmed.applyInPandas(_linked, "a BINARY, b BINARY"))
+    linked = classes.select("node", "row").join(found, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
+    first = linked.groupBy("root").agg(F.min("row").alias("first"))
+    roots = linked.join(first, "root").select(F.col("node").alias("set"), "first")
+    alone = (F.col("n") == 0) | F.col("id").isNull()
+    rows = signed.select("id", "th", "n", F.when(~alone, F.col("set")).alias("set")).join(roots, "set", "left")
+    own = F.struct("id", "th")
+    return rows.select("id", "th", "n", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("root"), (alone | (F.col("first") == own)).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_shingles, component_id and kept of every row.
 
-    1. Each text gets a min-max signature; texts of the same set are one class, named by its smallest id.
+    1. Each text gets a min-max signature; texts of the same set are one class, known by that set.
     2. Classes meet in the buckets of their bands; those whose signatures agree
        enough are tied to clusters, so a cluster has every link that banding can find.
     3. Within a cluster full sets are compared, by postings of their shingles. Buckets and
@@ -224,44 +259,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component id of others; both are linked with nothing and kept. Rows that repeat an id are judged by
     their own texts. Sets of equal 128-bit sums count as the same set.
     """
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stage(_signed(given), "signatures")
-    classes = stage(
-        signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.min_by("bands", "id").alias("bands"), F.min_by("signature", "id").alias("signature")),
-        "classes",
-    )
-    dealt = classes.select("node", "set", F.explode("bands").alias("key"))
-    buckets = stage(dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = classes.select("node", "set", "n", "signature").join(dealt.join(buckets, "key").select("set", "key", "size"), "set")
-    met = _block_pairs(members, "size", BUCKET_BLOCK)
-    lots = max(1, -(-(buckets.agg(F.sum("size")).first()[0] or 0) // LOT))
-    compared = met.groupBy(F.pmod(F.xxhash64("key", "p", "q"), F.lit(lots)).alias("lot"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    clusters = components(compared.applyInPandas(_similar, f"a {kind}, b {kind}"))
-    nodes = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
-    nodes = stage(nodes.join(sizes, "root"), "clusters")
-    texts = nodes.join(given, nodes.node == given.id).select("node", "root", "size", "text")
-    confirmed = _block_pairs(_shingled(texts), "size", CLUSTER_BLOCK).groupBy("root", "p", "q")
-    found = components(confirmed.applyInPandas(_linked, f"a {kind}, b {kind}"))
-    roots = classes.select("set", "node").join(found, "node", "left").select("set", F.coalesce("root", "node").alias("_root"))
-    alone = (F.col("n") == 0) | F.col("id").isNull()
-    rows = signed.select("id", F.col("n").alias("n_shingles"), F.when(~alone, F.col("set")).alias("set"))
-    root = F.coalesce("_root", "id")
-    return rows.join(roots, "set", "left").select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("id")).alias("kept"))
+    found = _judged(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("root").eqNullSafe(F.col("id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns.
+    """One document of each group, the one with the smallest id (and text hash), with all its columns.
 
-    Rows that repeat both id and text are one document, rows with a null id groups of their own.
+    Rows that repeat both id and text are one document, rows with a null id or without words groups of their own. A
+    row is known by its id and text, so what repeats the id of another text stands or falls by itself.
     """
     place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
-    ids = place[id_col]
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    # A key that is never null, so that the join leaves the rows where the last step needs them.
+    ids, texts = place[id_col], place[text_col]
+    # Keys that are never null, so that the join leaves the rows where the last step needs them.
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    kept = found.where("kept").select(key(id_col).alias("key")).distinct()
-    named = docs.toDF(*place.values()).withColumns({"key": key(ids), "th": F.xxhash64(F.col(place[text_col]))})
-    alone = named.join(kept, "key", "left_semi").dropDuplicates(["key", "th"])
+    kept = _judged(docs.select(id_col, text_col), id_col, text_col).where("first").select(key("id").alias("key"), "th").distinct()
+    named = docs.toDF(*place.values()).withColumns({"key": key(ids), "th": F.xxhash64(F.coalesce(F.col(texts).cast("string"), F.lit("")))})
+    alone = named.join(kept, ["key", "th"], "left_semi").dropDuplicates(["key", "th"])
     return alone.select(*place.values()).toDF(*docs.columns)

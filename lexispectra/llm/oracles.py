@@ -6,20 +6,9 @@ from lexispectra.llm import urls
 
 
 def url_filter() -> str:
-    """The propagation is unrolled: one expression per step."""
-    steps = {}
-    for name, src, dst in (("trust", "src", "dst"), ("distrust", "dst", "src")):
-        keep = 1 - urls.DAMPING
-        parts = [f"{name}_0 AS (SELECT host, {keep} * {name} AS score FROM hosts WHERE {name} > 0)"]
-        for k in range(urls.STEPS):
-            parts.append(
-                f"{name}_{k + 1} AS (SELECT host, sum(score) AS score FROM (SELECT host, score FROM {name}_0 UNION ALL "
-                f"SELECT {dst}, {urls.DAMPING} * n / sum(n) OVER (PARTITION BY {src}) * score FROM links LEFT JOIN {name}_{k} ON host = {src}) "
-                f"WHERE score IS NOT NULL GROUP BY host)"
-            )
-        steps[name] = ", ".join(parts)
+    """The walks are summed step by step; a step without any link left is the last."""
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, html,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
@@ -30,17 +19,22 @@ ruled AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed),
 hosts AS (
-  SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END) AS trust,
-    avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END) AS distrust
+  SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END) AS allow,
+    avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END) AS block
   FROM ruled WHERE host <> '' GROUP BY host),
 found AS (
   SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\\shref\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s>]+)', 1)), '{urls.UPPER}', '{urls.LOWER}') AS dst
   FROM parsed WHERE host <> ''),
 links AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> dst GROUP BY src, dst),
-{steps["trust"]}, {steps["distrust"]},
-judged AS (
-  SELECT host, round(coalesce(t.score, 0), 12) AS trust, round(coalesce(d.score, 0), 12) AS distrust
-  FROM hosts LEFT JOIN trust_{urls.STEPS} t USING (host) LEFT JOIN distrust_{urls.STEPS} d USING (host))
+both_ways AS (SELECT 'trust' AS walk, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+shares AS (SELECT walk, src, dst, {urls.DAMPING} * n / sum(n) OVER (PARTITION BY walk, src) AS share FROM both_ways),
+steps(step, walk, host, part, whole) AS (
+  SELECT 0, walk, host, {1 - urls.DAMPING} * CASE walk WHEN 'trust' THEN allow ELSE block END, {1 - urls.DAMPING}::DOUBLE
+  FROM hosts, (VALUES ('trust'), ('distrust')) AS w(walk) WHERE allow > 0 OR block > 0
+  UNION ALL
+  SELECT step + 1, walk, dst, sum(share * part), sum(share * whole) FROM steps JOIN shares USING (walk) WHERE src = host AND whole >= {urls.TOLERANCE * (1 - urls.DAMPING)} GROUP BY ALL),
+scores AS (SELECT walk, host, round(sum(part) / sum(whole), 9) AS score FROM steps GROUP BY ALL),
+judged AS (SELECT host, coalesce(max(score) FILTER (walk = 'trust'), 0) AS trust, coalesce(max(score) FILTER (walk = 'distrust'), 0) AS distrust FROM scores GROUP BY host)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN distrust - trust >= {urls.THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict

@@ -10,8 +10,8 @@ from lexispectra.runtime import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Share of a host's score that its links hand on, steps of propagation, and the surplus of distrust that blocks a host.
-DAMPING, STEPS, THRESHOLD = 0.85, 8, 0.1
+#: Share of a host's score that its links hand on, the part of a walk below which it is over, and the surplus of distrust that blocks a host.
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)\shref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
@@ -42,24 +42,28 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """Personalised PageRank: host, score, from ``links`` (src, dst, n) and ``seeds`` (host, weight).
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank: walk, host, and a score for each other column of ``seeds`` (walk, host, ...).
 
-    A step hands ``damping`` of a host's score to the hosts it links to, by number of
-    links, and adds the seed's own share. Scores do not depend on the number of
-    hosts: a seed of weight 1 has 1 - damping without any link. Each step is a
-    join on the source and a sum by target, combined before its shuffle.
+    ``links`` are (walk, src, dst, n). A step hands ``damping`` of what reached a host in the step before to
+    the hosts it links to, by number of links; what comes to a host without links ends there. The score is
+    the sum over all steps, from (1 - damping) of the seeds on, so it does not depend on the number of
+    hosts. The steps end when no host gets ``tolerance`` any more, and exactly where no way goes on. Each
+    is a join on the source and a sum by target, combined before its shuffle.
     """
-    total = links.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = stage(links.join(total, "src").select("src", "dst", (damping * F.col("n") / F.col("total")).alias("share")), "links")
-    start = seeds.select("host", ((1 - damping) * F.col("weight")).alias("score"))
-    scores = start
-    for step in range(steps):
-        handed = shares.join(scores, shares.src == scores.host).select(F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score"))
-        scores = start.unionByName(handed).groupBy("host").agg(F.sum("score").alias("score"))
-        if step % 4 == 3 or step == steps - 1:
-            scores = stage(scores, "scores")
-    return scores
+    names = [c for c in seeds.columns if c not in ("walk", "host")]
+    total = links.groupBy("walk", "src").agg(F.sum("n").alias("total"))
+    shares = stage(links.join(total, ["walk", "src"]).select("walk", "src", "dst", (damping * F.col("n") / F.col("total")).alias("share")), "links")
+    step = stage(seeds.select("walk", "host", *[((1 - damping) * F.col(c)).alias(c) for c in names]), "walk")
+    steps = step
+    while True:
+        handed = shares.join(step.withColumnRenamed("host", "src"), ["walk", "src"])
+        handed = handed.groupBy("walk", F.col("dst").alias("host")).agg(*[F.sum(F.col("share") * F.col(c)).alias(c) for c in names])
+        step = stage(handed, "walk")
+        most = step.agg(*[F.max(c) for c in names]).first()
+        if max((x or 0.0 for x in most), default=0.0) < tolerance * (1 - damping):
+            return steps.groupBy("walk", "host").agg(*[F.sum(c).alias(c) for c in names])
+        steps = steps.unionByName(step)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -67,27 +71,25 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     A page's rule decides; other pages follow their host. A host is a seed of trust
     by the share of its pages that rules allow, of distrust by the share that they
-    block; trust flows along links, distrust against them, and a host whose distrust
-    exceeds its trust by ``threshold`` is blocked. Rows without a host are allowed, a
-    null page has no links, repeated rows are judged alike. The verdicts come
-    back to the pages by a join on the host, whose hot keys adaptive execution splits.
+    block; trust flows along links, distrust against them. Both are taken relative to the score that the host would
+    have if all pages of all hosts with a rule were allowed, or blocked, so each is a share from 0 to 1, however
+    many hosts there are. A host whose distrust exceeds its trust by ``threshold`` is blocked. Hosts that
+    no judged host reaches are allowed, as are rows without a host; a null page has no links, repeated rows are
+    judged alike. The verdicts come back to the pages by a join on the host, whose hot keys adaptive execution splits.
     """
     parsed = pages.select(F.col(id_col).alias(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.col(html_col).cast("string").alias("_html"))
     ruled = parsed.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("_rule.verdict") == verdict, 1.0).otherwise(0.0))
-    hosts = stage(ruled.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "hosts")
+    hosts = stage(ruled.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")), "hosts")
     links = stage(host_links(ruled.withColumnRenamed("_html", "html"), "html"), "links")
-    trust = propagate(links, hosts.where("trust > 0").select("host", F.col("trust").alias("weight")))
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, hosts.where("distrust > 0").select("host", F.col("distrust").alias("weight")))
-    zero = F.lit(0.0)
-    judged = (
-        hosts.select("host")
-        .join(trust.withColumnRenamed("score", "_trust"), "host", "left")
-        .join(distrust.withColumnRenamed("score", "_distrust"), "host", "left")
-        .select("host", F.round(F.coalesce("_trust", zero), 12).alias("trust"), F.round(F.coalesce("_distrust", zero), 12).alias("distrust"))
-    )
-    light = ruled.select(id_col, "host", "path", "_rule").join(judged, "host", "left")
-    blocked = F.coalesce(F.col("distrust") - F.col("trust") >= threshold, F.lit(False))
+    back = links.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    both = links.select(F.lit("trust").alias("walk"), "src", "dst", "n").unionByName(back)
+    judged = hosts.where((F.col("allow") > 0) | (F.col("block") > 0))
+    seeds = [judged.select(F.lit(walk).alias("walk"), "host", F.col(own).alias("part"), F.lit(1.0).alias("whole")) for walk, own in (("trust", "allow"), ("distrust", "block"))]
+    found = propagate(both, seeds[0].unionByName(seeds[1])).select("walk", "host", F.round(F.col("part") / F.col("whole"), 9).alias("score"))
+    found = found.groupBy("host").pivot("walk", ["trust", "distrust"]).agg(F.first("score"))
+    light = ruled.select(id_col, "host", "path", "_rule").join(found, "host", "left")
+    light = light.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    blocked = F.col("distrust") - F.col("trust") >= threshold
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(blocked, "block").otherwise("allow"))
     return light.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")

@@ -26,7 +26,8 @@ _END = b"\r\n\r\n"
 
 #: Bytes of the dictionary, and bytes of the first records of an archive that it is trained on.
 DICTIONARY = 32 << 10
-SAMPLE = 2 << 20
+#: Bytes of records a dictionary learns from, bytes of each of them, and bytes of records that wait for it.
+SAMPLE, SAMPLE_RECORD, SAMPLE_HELD = 2 << 20, 16 << 10, 64 << 20
 _READ = 1 << 20
 _RECORD_ID = "urn:page:"
 
@@ -170,15 +171,16 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 for page, url, payload, refers in zip(*columns):
                     yield _record(page.as_py(), url.as_py(), payload.as_py().encode(), refers.as_py(), date)
 
-        ready, sample, size = made(), [], 0
+        # Some of each of many records, so that a long one does not take the place of the others.
+        ready, sample, size, waiting = made(), [], 0, 0
         for record in ready:
             sample.append(record)
-            size += len(record)
-            if size >= SAMPLE:
+            size, waiting = size + min(len(record), SAMPLE_RECORD), waiting + len(record)
+            if size >= SAMPLE or waiting >= SAMPLE_HELD:
                 break
         if not sample:
             return
-        dictionary = _dictionary(sample)
+        dictionary = _dictionary([record[:SAMPLE_RECORD] for record in sample])
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
         n = 0
         with store.open_output_stream(name, compression=None) as out:

@@ -1,7 +1,15 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 
+@pytest.fixture(autouse=True)
+def own_random_numbers(request):
+    """The same data for a test whatever runs before it."""
+    random.seed(request.node.nodeid.split("/")[-1])
+
+
 @pytest.fixture
 def docs(spark):
     """Documents with columns whose names the operators use themselves."""

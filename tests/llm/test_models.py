@@ -75,6 +75,20 @@ def test_rare_words_are_told_apart_by_their_contexts(docs):
     assert sum(r.score for r in learnt) / tokens > sum(r.score for r in mixed) / tokens + 0.01
 
 
+def test_scores_do_not_depend_on_how_rows_are_stored(spark):
+    """Several MB in partitions that adaptive execution merges; each text by its own id, one pair repeated."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, f"{i % 7}", " ".join(random.choices(words, k=random.choice([0, 5, 400, 900])))) for i in range(1500)] + [(7, "a", "twice the same row")] * 2
+    given = spark.createDataFrame(rows, "doc_id BIGINT, lang STRING, text STRING")
+    found = [sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in lm.score(x).collect()) for x in (given.repartition("lang", "doc_id"), given.orderBy("text").coalesce(2))]
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+    count = Counter(w for i, _, t in rows if not held(i, 7, 2) for w in [*t.split(), "\n"])
+    n, v = sum(count.values()), len(count)
+    expected = sorted((i, len(t.split()) + 1, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*t.split(), "\n"]), 6)) for i, _, t in rows)
+    assert [x[:2] for x in found[0]] == [x[:2] for x in expected]
+    assert [x[3] for x in found[0]] == pytest.approx([x[2] for x in expected], abs=1e-5)
+
+
 def test_own_words_are_normalised_within_their_group():
     counts, starts = np.array([50, 20, 10, 40, 30]), np.array([0, 3, 5])
     model = lm.Model.start(np.ones(lm.CLASSES + 2), counts)

@@ -12,9 +12,6 @@ import zstandard
 
 from lexispectra.llm import urls, warc
 
-random.seed(6)
-
-
 @pytest.fixture
 def pages(spark):
     def make(rows):
@@ -50,34 +47,66 @@ def test_hosts_paths_and_rules(pages):
 
 
 def test_propagation_over_links(pages):
-    hosts = [f"h{i}.com" for i in range(8)] + ["bad.net", "good.org", "part.example.com"]
+    hosts = [f"h{i}.com" for i in range(8)] + ["bad.net", "good.org", "part.example.com", "worse.net"]
     edges, rows = {}, []
-    for i in range(150):
-        a, links = random.choice(hosts), random.choices(hosts, k=random.randint(0, 3))
-        path = random.choice(["/", "/fr/", "/de/"])
+    for i in range(220):
+        a = random.choice(hosts)
+        links = random.choices(["bad.net", "worse.net", "h1.com"] if a in ("h1.com", "h2.com", "h3.com") else hosts, k=random.randint(0, 3))
+        path = random.choice(["/fr/", "/de/"]) if a in ("good.org", "part.example.com") else "/"
         html = "".join(f'<A HREF="{random.choice(["http:", "https:", ""])}//{b.upper()}/x">y</a> <a href="/own">z</a>' for b in links)
         rows.append((i, f"http://{a}{path}", html or None))
         for b in links:
             if a != b:
                 edges[a, b] = edges.get((a, b), 0) + 1
     found = urls.judge(pages(rows)).collect()
-    seeds = {"allow": {}, "block": {}}
-    for verdict, kept in seeds.items():
-        for h in {r.host for r in found}:
-            own = [r for r in found if r.host == h]
-            share = sum(r.rule is not None and r.verdict == verdict for r in own) / len(own)
-            if share:
-                kept[h] = share
-    trust = naive.page_rank(edges, seeds["allow"], urls.DAMPING, urls.STEPS)
-    distrust = naive.page_rank({(b, a): n for (a, b), n in edges.items()}, seeds["block"], urls.DAMPING, urls.STEPS)
+    seeds = {"allow": {}, "block": {}, "any": {}}
+    for h in {r.host for r in found}:
+        own = [r for r in found if r.host == h]
+        shares = {v: sum(r.rule is not None and r.verdict == v for r in own) / len(own) for v in ("allow", "block")}
+        if sum(shares.values()):
+            seeds["any"][h] = 1
+            for v, x in shares.items():
+                seeds[v][h] = x
+    back = {(b, a): n for (a, b), n in edges.items()}
+    ratio = lambda graph, v: {h: x / w for (h, x), w in zip(sorted(naive.page_rank(graph, seeds[v], urls.DAMPING, 200).items()), [w for _, w in sorted(naive.page_rank(graph, seeds["any"], urls.DAMPING, 200).items())])}
+    trust, distrust = ratio(edges, "allow"), ratio(back, "block")
     verdicts = set()
     for r in found:
         t, d = trust.get(r.host, 0), distrust.get(r.host, 0)
-        assert r.trust == pytest.approx(t, abs=1e-9) and r.distrust == pytest.approx(d, abs=1e-9)
-        if r.rule is None:
+        assert r.trust == pytest.approx(t, abs=1e-4) and r.distrust == pytest.approx(d, abs=1e-4)
+        if r.rule is None and abs(d - t - urls.THRESHOLD) > 1e-3:
             assert r.verdict == ("block" if d - t >= urls.THRESHOLD else "allow")
-            verdicts.add(r.verdict)
-    assert verdicts == {"allow", "block"}
+            verdicts.add((r.host, r.verdict))
+    assert {v for _, v in verdicts} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 5, 40])
+def test_verdicts_do_not_follow_the_size_of_the_graph(pages, linkers):
+    """Hosts that link only to a blocked host, and hosts that also link to an allowed one."""
+    rows = [(0, "http://bad.net/", None), (1, "http://good.org/fr/", "".join(f'<a href="//fine{i}.com/">' for i in range(linkers)))]
+    for i in range(linkers):
+        rows.append((10 + i, f"http://only{i}.com/", '<a href="http://bad.net/">'))
+        rows.append((100 + i, f"http://fine{i}.com/", '<a href="http://bad.net/"> <a href="//good.org/">'))
+        rows.append((200 + i, f"http://further{i}.com/", f'<a href="//only{i}.com/">'))
+        rows.append((300 + i, f"http://alone{i}.com/", None))
+    found = {r.page_id: r.verdict for r in urls.judge(pages(rows)).collect()}
+    for i in range(linkers):
+        assert [found[k + i] for k in (10, 100, 200, 300)] == ["block", "allow", "block", "allow"], i
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_against_sql(pages, tmp_path, linked):
+    import duckdb
+
+    from lexispectra.llm import oracles
+
+    rows = [(i, f"http://{random.choice(['x.net', 'a.com', 'b.com', 'c.org', 'www.example.com'])}{random.choice(['/fr/', '/de/', '/'])}", f'<a href="http://{random.choice(["x.net", "a.com", "b.com", "c.org"])}/">' if linked else None) for i in range(60)]
+    given = pages(rows).select("page_id", "url", "html")
+    given.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    expected = sorted(con.sql(f"SELECT page_id, verdict FROM ({oracles.url_filter()})").fetchall())
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(given).collect()) == expected
 
 
 def test_url_filter_of_repeated_rows_and_empty_tables(pages):
@@ -122,7 +151,7 @@ def test_archive_round_trip(spark, pages, tmp_path, least):
         assert row.url == (url if url is None else url.replace("\r", "%0D").replace("\n", "%0A"))
     archives = list((tmp_path / folder).glob("*.warc.zst"))
     heads = [struct.unpack("<I", p.read_bytes()[:4])[0] for p in archives]
-    assert 0x184D2A5D in heads
+    assert heads and set(heads) == {0x184D2A5D}  # one long page does not keep an archive from its dictionary
 
 
 def test_archive_of_an_empty_table(pages):
