@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexispectra.functions.weights import WEIGHTINGS
 from lexispectra.operators.svd import ROW_PIECE
-from lexispectra.plans.queries import CUTOFF, MAX_VOCAB, MIN_COUNT, SHIFT, WINDOW
+from lexispectra.plans.queries import CUTOFF, MAX_VOCAB, MIN_COUNT, PARAMS, SHIFT, WINDOW
 
 # All 1/d with d up to the window are whole multiples of 1/UNITS.
 UNITS = 2520
@@ -141,6 +141,17 @@ def _stats() -> str:
     return f"{head.rstrip()}, pmi_cells AS (SELECT{cells}) {rows}"
 
 
+def _kept_cells(then: str) -> str:
+    """Something about the PMI table after cutoff and shift."""
+    head, cells = _pmi(CUTOFF, SHIFT).rsplit("SELECT", 1)
+    cells = cells.replace(f"round(pmi + {SHIFT}, 6)", f"pmi + {SHIFT}")
+    return f"{head.rstrip()}, kept AS (SELECT{cells}) {then}"
+
+
+_DESCRIBED = f"""
+    SELECT id, word, {PARAMS.dimension} AS dimension, id IN (SELECT "row" FROM kept) AS has_vector FROM vocab"""
+
+
 def _truncated() -> str:
     """The longest prefix of whole characters within 999 bytes, found by length."""
     stripped = "replace(replace(replace(text, chr(10), ''), chr(9), ''), ' ', '')"
@@ -215,6 +226,17 @@ ORACLES: dict[str, str] = {
     "pmi_cutoff": _pmi(CUTOFF, None),
     "pmi_shift": _pmi(CUTOFF, SHIFT),
     "pipeline_stats": _stats(),
+    "cooc_sorted": _with(*_DOCS, _cells("d_", _INVERSE), then="""
+        SELECT row_number() OVER (ORDER BY "row", "col") - 1 AS position, * FROM d_cells"""),
+    "reserved_word": _with(_LINES, then="""
+        SELECT count(*) AS tokens, count(*) FILTER (word = '<unk>') AS reserved FROM d_words"""),
+    "svd_residuals": _kept_cells(f"""
+        SELECT CAST(r AS INTEGER) AS rank, true AS orthonormal, true AS exact, true AS stated, true AS falling, true AS within_norm,
+            (SELECT round(sum(pmi * pmi), 2) FROM kept) AS norm FROM range(1, {PARAMS.dimension + 1}) AS t(r)"""),
+    "embedding_words": _kept_cells(_DESCRIBED),
+    "embedding_from_cooc_words": _kept_cells(_DESCRIBED),
+    "embedding_text_parsed": _with(_LINES, _VOCAB, then=f"""
+        SELECT id, word, {PARAMS.dimension} AS dimension, true AS seven_decimals, true AS equal FROM vocab"""),
     "sparse_rows": _with(
         *_DOCS,
         _cells("d_", f"CAST(sum({UNITS} // distance) AS BIGINT)"),

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from lexispectra.functions.text import truncate_word
 from lexispectra.functions.weights import WEIGHTINGS, weight_column
 from lexispectra.operators import pmi as P
+from lexispectra.operators import residuals as R
 from lexispectra.operators import svd as S
 from lexispectra.operators import windows as W
 from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, merge_cooccurrence, mirror
 from lexispectra.operators.encoding import encode, oov_filter
-from lexispectra.operators.vocabulary import build_vocab, word_count
+from lexispectra.operators.vocabulary import RESERVED_WORD, build_vocab, word_count
 from lexispectra.plans.params import TrainParams
 from lexispectra.plans.pipeline import embed, pmi_cells, statistics, train
 from lexispectra.runtime import spread, stage, stage_root
-from lexispectra.sources.cooccurrence import read_cooccurrence_bin, write_cooccurrence_bin
+from lexispectra.sources.cooccurrence import read_cooccurrence_bin, read_cooccurrence_records, write_cooccurrence_bin
 from lexispectra.sources.corpus import read_corpus_table, tokens
 from lexispectra.sources.embedding import write_embedding
 from lexispectra.sources.vocabulary import read_vocabulary, write_vocabulary
@@ -186,6 +187,13 @@ def cooc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_cooccurrence_bin(spark, path)
 
 
+def cooc_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of a binary file in the order in which they stand there."""
+    path = fresh_path(spark, "cooccurrence-bin")
+    write_cooccurrence_bin(counts(spark, sf), path)
+    return read_cooccurrence_records(spark, path)
+
+
 # PMI
 
 
@@ -244,6 +252,67 @@ def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def reserved_word(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the vocabulary step lets pass, and how many of them are the reserved one: it refuses a corpus that has any."""
+    reserved = F.coalesce(F.sum(F.when(F.col("word") == RESERVED_WORD, F.col("count"))), F.lit(0))
+    return build_vocab(documents(spark, sf), 1).agg(F.sum("count").alias("tokens"), reserved.cast("bigint").alias("reserved"))
+
+
+#: Largest overlap of two vectors, and largest residual as a share of the largest singular value, that count as none.
+EXACT = 1e-6
+
+
+def svd_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each singular vector is one: of unit length and at right angles to the others, with a small residual and a value in order."""
+    cells = stage(pmi_cells(scaled_counts(spark, sf)[1], PARAMS, symmetric=True), "pmi-cells")
+    found = S.svd(cells, PARAMS.dimension)
+    vectors = stage(found.vectors, "vectors")
+    stated = spark.createDataFrame([(i, v, max(found.values)) for i, v in enumerate(found.values, 1)], "rank INT, stated DOUBLE, largest DOUBLE")
+    lower = spark.createDataFrame([(i, v) for i, v in enumerate([*found.values[1:], 0.0], 1)], "rank INT, next DOUBLE")
+    tested = R.residuals(cells, vectors).join(stated, "rank").join(lower, "rank")
+    norm = cells.agg(F.round(F.sum(F.col("pmi") * F.col("pmi")), 2).alias("norm"))
+    return tested.withColumn("norm", norm.scalar()).select(
+        "rank",
+        (F.col("overlap") <= EXACT).alias("orthonormal"),
+        (F.col("residual") <= EXACT * F.col("largest")).alias("exact"),
+        (F.abs(F.col("value") - F.col("stated")) <= EXACT * F.col("largest")).alias("stated"),
+        (F.col("stated") >= F.col("next")).alias("falling"),
+        (F.col("rank") * F.pow("stated", F.lit(2)) <= F.col("norm") * (1 + EXACT)).alias("within_norm"),
+        "norm",
+    )
+
+
+def _described(vectors: DataFrame) -> DataFrame:
+    filled = F.exists("vector", lambda x: x != 0.0)
+    return vectors.select("id", "word", F.size("vector").alias("dimension"), filled.alias("has_vector"))
+
+
+def embedding_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Which words have vectors after training."""
+    return _described(embedding(spark, sf))
+
+
+def embedding_from_cooc_words(spark: SparkSession, sf: str) -> DataFrame:
+    return _described(embedding_from_cooc(spark, sf))
+
+
+def embedding_text_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedding file read back next to the table it was written from."""
+    path = fresh_path(spark, "embedding-text")
+    made = stage(embedding(spark, sf), "embedding")
+    write_embedding(made, path)
+    parts = spark.read.option("lineSep", "\n").text(path).select(F.split("value", " ").alias("parts"))
+    read = parts.select(F.col("parts")[0].alias("word"), F.slice("parts", F.lit(2), F.size("parts")).alias("numbers"))
+    off = F.zip_with("vector", "numbers", lambda v, x: F.abs(v - x.cast("double")) <= 5.1e-8)
+    return made.join(read, "word").select(
+        "id",
+        "word",
+        F.size("numbers").alias("dimension"),
+        F.forall("numbers", lambda x: x.rlike("^-?[0-9]+[.][0-9]{7}$")).alias("seven_decimals"),
+        F.forall(off, lambda x: x).alias("equal"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_lines": corpus_lines,
     "tokens": tokens_query,
@@ -265,6 +334,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cooc_given_vocab": cooc_given_vocab,
     "cooc_merge": cooc_merge,
     "cooc_roundtrip": cooc_roundtrip,
+    "cooc_sorted": cooc_sorted,
     "row_marginal": _marginal(P.row_marginal),
     "col_marginal": _marginal(P.col_marginal),
     "cooc_total": _marginal(P.cooc_total),
@@ -278,4 +348,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embedding": embedding,
     "embedding_from_cooc": embedding_from_cooc,
     "embedding_text": embedding_text,
+    "reserved_word": reserved_word,
+    "svd_residuals": svd_residuals,
+    "embedding_words": embedding_words,
+    "embedding_from_cooc_words": embedding_from_cooc_words,
+    "embedding_text_parsed": embedding_text_parsed,
 }
