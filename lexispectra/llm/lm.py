@@ -24,7 +24,9 @@ HEAD = 1 << 17
 #: Most words with vectors of their own (132 bytes each); in a corpus where more reach that count, it rises.
 MOST_OWN = 1 << 20
 #: Tokens that one copy of the model learns from, and copies or sums that one task adds up.
-COPY_TOKENS, FAN_IN = 1 << 22, 16
+COPY_TOKENS, FAN_IN = 1 << 23, 16
+#: Contexts whose scores are held at a time, so that they stay in the cache.
+SCORED = 128
 BATCH, NOISE, RATE, ROUNDS = 1024, 64, 0.1, 1
 #: Own words that are taught together for each group there is, noise words for those of one group, and rows of a model that travel together.
 LESSON, GROUP_NOISE, CHUNK = 256, 32, 4096
@@ -149,10 +151,9 @@ class Model:
             key = key * (self.classes + self.words) + before[i]
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         predicted = self.predict(before[:, first])
-        normaliser = np.empty(len(distinct), np.float32)
-        step = 128  # the scores of so many contexts stay in the cache
-        for i in range(0, len(distinct), step):
-            normaliser[i : i + step] = _log_sum(predicted[i : i + step] @ q.T + b)
+        scorer, normaliser = _with_bias(q, b), np.empty(len(distinct), np.float32)
+        for i in range(0, len(distinct), SCORED):
+            normaliser[i : i + SCORED] = _log_sum(predicted[i : i + SCORED], scorer)
         out = np.empty(len(target), np.float64)
         for i in range(0, len(target), 1 << 16):
             t, k = target[i : i + (1 << 16)], back[i : i + (1 << 16)]
@@ -164,15 +165,26 @@ class Model:
         wq, wb = self.parts[4:]
         out = np.empty(len(own), np.float64)
         for g, rows in _by_group(own, starts):
-            a, b = starts[g], starts[g + 1]
-            scores = self.predict(before[:, rows]) @ wq[a:b].T + wb[a:b]
-            out[rows] = scores[np.arange(len(rows)), own[rows] - a] - _log_sum(scores)
+            group = slice(starts[g], starts[g + 1])
+            predicted, target = self.predict(before[:, rows]), own[rows]
+            out[rows] = np.einsum("ij,ij->i", predicted, wq[target]) + wb[target] - _log_sum(predicted, _with_bias(wq[group], wb[group]))
         return out
 
 
-def _log_sum(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(1))
+def _with_bias(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.column_stack([q, b]).T)
+
+
+def _log_sum(predicted: np.ndarray, scorer: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp over all scores; only where that leaves the range of the numbers are scores taken relative to the largest."""
+    scores = predicted @ scorer[:-1]
+    scores += scorer[-1]
+    with np.errstate(over="ignore", divide="ignore"):
+        found = np.log(np.exp(scores).sum(1))
+    if not np.isfinite(found).all():
+        top = scores.max(1)
+        found = top + np.log(np.exp(scores - top[:, None]).sum(1))
+    return found
 
 
 def _by_group(own: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -327,14 +339,12 @@ def _end_input(vocab: Vocabulary) -> int:
 
 
 def _chunks(model: Model, n: int, seen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Number, rows times weights, and weights of all parameters: those of an own word are weighted by its occurrences, all others by tokens."""
+    """Number, rows and weights of all parameters: those of an own word are weighted by its occurrences, all others by tokens."""
     r, c, q, b, wq, wb = model.parts
-    shared = np.concatenate([x.reshape(-1) for x in (r[: model.classes], c, q, b)])
-    yield 0, shared[None, :] * np.float64(n), np.full(1, n, np.float64)
+    yield 0, np.concatenate([x.reshape(-1) for x in (r[: model.classes], c, q, b)])[None, :], np.full(1, n, np.float32)
     rows = np.column_stack([r[model.classes :], wq, wb])
     for k, i in enumerate(range(0, model.words, CHUNK)):
-        weight = seen[i : i + CHUNK] + 1e-3
-        yield k + 1, rows[i : i + CHUNK] * weight[:, None], weight
+        yield k + 1, rows[i : i + CHUNK], (seen[i : i + CHUNK] + 1e-3).astype(np.float32)
 
 
 def _joined(chunks: list[np.ndarray], classes: int, words: int) -> np.ndarray:
@@ -348,11 +358,16 @@ def _joined(chunks: list[np.ndarray], classes: int, words: int) -> np.ndarray:
 _COPIES = "part INT, chunk BIGINT, value BINARY, weight BINARY"
 
 
-def _added(copies: DataFrame, parts: int) -> DataFrame:
-    """Sums of the chunks of all copies, FAN_IN at a time, so that no task takes more however many copies there are."""
+def _averaged(copies: DataFrame, parts: int) -> DataFrame:
+    """Means of the chunks of all copies, FAN_IN at a time, so that no task takes more however many copies there are."""
 
     def add(key: tuple, some: pa.Table) -> pa.Table:
-        sums = [sum(np.frombuffer(x.as_py(), np.float64) for x in some.column(c)) for c in ("value", "weight")]
+        total = weight = 0.0
+        for value, own in zip(some.column("value"), some.column("weight")):
+            own = np.frombuffer(own.as_py(), np.float32).astype(np.float64)
+            total = total + np.frombuffer(value.as_py(), np.float32).reshape(len(own), -1) * own[:, None]
+            weight = weight + own
+        sums = [(total / weight[:, None]).astype(np.float32), weight.astype(np.float32)]
         columns = [pa.array([k.as_py()], t) for k, t in zip(key, (pa.int32(), pa.int64()))]
         return pa.table([*columns, *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=["part", "chunk", "value", "weight"])
 
@@ -364,11 +379,6 @@ def _added(copies: DataFrame, parts: int) -> DataFrame:
             return copies
 
 
-def _divided(value: bytes, weight: bytes) -> np.ndarray:
-    weight = np.frombuffer(weight, np.float64)
-    return np.frombuffer(value, np.float64).reshape(len(weight), -1) / weight[:, None]
-
-
 def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after ``rounds`` passes over all texts.
 
@@ -407,12 +417,12 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.nd
                     seen += np.bincount(own[held], minlength=len(seen))
                     n += len(classes)
             for chunk, value, weight in _chunks(trainer.model, n, seen) if n else ():
-                columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (value, weight))]
+                columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (value, weight))]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "value", "weight"])
 
-        sums = _added(dealt.mapInArrow(fit, _COPIES), copies).toPandas().sort_values("chunk")
-        if len(sums):
-            flat = _joined([_divided(v, w) for v, w in zip(sums["value"], sums["weight"])], *vocab.shape)
+        mean = _averaged(dealt.mapInArrow(fit, _COPIES), copies).toPandas().sort_values("chunk")
+        if len(mean):
+            flat = _joined([np.frombuffer(x, np.float32) for x in mean["value"]], *vocab.shape)
     return flat.astype(np.float32)
 
 
