@@ -391,8 +391,8 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.nd
     spark = training.sparkSession
     copies = max(1, -(-vocab.tokens // COPY_TOKENS))
     dealt = training.select("text", "th", "kid").repartition(copies, "th", "kid").sortWithinPartitions("th", "kid")
-    # The end of a copy's texts is known by the number of its partition.
-    dealt = dealt.select("text", F.spark_partition_id().alias("part"))
+    # Below the number of copies, even if Spark deals the texts to more partitions.
+    dealt = dealt.select("text", F.pmod(F.spark_partition_id(), F.lit(copies)).cast("int").alias("part"))
     flat = Model.start(vocab.class_tokens, vocab.own_counts).flat()
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, flat))

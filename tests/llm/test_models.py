@@ -89,6 +89,19 @@ def test_scores_do_not_depend_on_how_rows_are_stored(spark):
     assert [x[3] for x in found[0]] == pytest.approx([x[2] for x in expected], abs=1e-5)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 40])
+def test_copies_are_averaged_by_their_weights(spark, monkeypatch, parts):
+    """More copies than parts, as where Spark deals the texts to more partitions than were asked for."""
+    monkeypatch.setattr(lm, "FAN_IN", 3)
+    numbers = np.random.default_rng(5)
+    values, weights = numbers.random((90, 4, 3)).astype(np.float32), numbers.integers(1, 50, (90, 4)).astype(np.float32)
+    copies = [(k % parts, chunk, values[k].tobytes(), weights[k].tobytes()) for k in range(90) for chunk in (0, 1)]
+    found = lm._averaged(spark.createDataFrame(copies, lm._COPIES).repartition(7), parts).collect()
+    expected = (values * weights[:, :, None]).sum(0) / weights.sum(0)[:, None]
+    assert sorted(r.chunk for r in found) == [0, 1]
+    assert all(np.allclose(np.frombuffer(r.value, np.float32).reshape(4, 3), expected, atol=1e-5) for r in found)
+
+
 def test_own_words_are_normalised_within_their_group():
     counts, starts = np.array([50, 20, 10, 40, 30]), np.array([0, 3, 5])
     model = lm.Model.start(np.ones(lm.CLASSES + 2), counts)
