@@ -24,9 +24,10 @@ class Bands:
     ``limits`` are (least size, least ratio, greatest ratio), rising in size; the
     last one whose least size fits holds, and smaller texts have none. Short
     texts compress worse, since the frame and the first occurrences weigh
-    more. Texts of two chunks or more are also cut into chunks of
-    ``chunk_bytes`` (the remainder is left to the whole-text band), and fail
-    when more than ``chunk_share`` of them are outside ``chunk_limits``.
+    more. Texts of ``chunk_bytes`` or more are also cut into chunks of that size,
+    the last of which ends where the text ends and so overlaps the one before,
+    and fail when chunks outside ``chunk_limits`` hold more than ``chunk_share``
+    of the bytes (a byte in two chunks belongs to the first).
     """
 
     limits: tuple[tuple[int, float, float], ...] = (
@@ -83,10 +84,12 @@ def _ratios(block: Block, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
             continue
         text = block.data[a:b]
         ratio[i] = len(squeeze.compress(text)) / (b - a)
-        chunks = (b - a) // bands.chunk_bytes
-        if chunks > 1:
-            sizes = [len(squeeze.compress(text[k : k + bands.chunk_bytes])) for k in range(0, chunks * bands.chunk_bytes, bands.chunk_bytes)]
-            out[i] = sum(not low <= s / bands.chunk_bytes <= high for s in sizes) / chunks
+        size = bands.chunk_bytes
+        if b - a >= size:
+            starts = [min(k, b - a - size) for k in range(0, b - a, size)]
+            bad = [not low <= len(squeeze.compress(text[k : k + size])) / size <= high for k in starts]
+            own = np.diff([*range(0, b - a, size), b - a])
+            out[i] = own[bad].sum() / (b - a)
     return ratio, out
 
 

@@ -30,8 +30,11 @@ def good(text, bands=Bands()):
         return len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(part)) / len(part)
 
     low, high = max([(-1, 0, 9), *(x for x in bands.limits if x[0] <= len(data))])[1:]
-    chunks = [data[i : i + 4096] for i in range(0, len(data) // 4096 * 4096, 4096)]
-    out = sum(not bands.chunk_limits[0] <= ratio(c) <= bands.chunk_limits[1] for c in chunks) / len(chunks) if len(chunks) > 1 else 0
+    out = 0
+    if len(data) >= 4096:
+        for i in range(0, len(data), 4096):
+            own, chunk = data[i : i + 4096], data[min(i, len(data) - 4096) :][:4096]
+            out += 0 if bands.chunk_limits[0] <= ratio(chunk) <= bands.chunk_limits[1] else len(own) / len(data)
     return low <= ratio(data) <= high and out <= bands.chunk_share
 
 
