@@ -192,7 +192,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = np.flatnonzero(pair[order][at] == wanted) if len(order) else np.zeros(0, np.int64)
                 first, last, anchor, doc, count = first[kept], last[kept], anchor[kept], doc[kept], count[order][at[kept]] if len(kept) else np.zeros(0, np.int64)
                 parts = -(-count // HOT)
-                salt = mix(doc.astype(np.uint64) + mix(first.astype(np.uint64)) + np.uint64(block.rows.start)) % np.maximum(parts, 1).astype(np.uint64)
+                # From the row's own keys and the word's place in it, so a task that runs again deals alike.
+                keys = [batch.column(name).to_numpy().view(np.uint64)[doc + block.rows.start] for name in ("id", "th")]
+                salt = mix(keys[0] ^ mix(keys[1] ^ mix((first - block.first[doc]).astype(np.uint64)))) % np.maximum(parts, 1).astype(np.uint64)
                 target = mix(anchor + salt * _SECOND) % np.uint64(n_blocks)
                 starts, ends = block.bounds
                 data = block.data.tobytes()
