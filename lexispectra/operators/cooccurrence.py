@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispectra.functions.weights import exact_units, weight, weighting_code
+from lexispectra.operators.borders import border_pairs, is_cut
 from lexispectra.operators.encoding import BROADCAST_BYTES, encode
 from lexispectra.operators.windows import check_window, pair_counts, pair_units
 
@@ -45,20 +46,33 @@ def cooccurrence_units(
     Scaled counts are BIGINT wherever the weights allow it, so sums over
     them are exact. Values that depend only on ratios, such as PMI, can use them
     directly. Without ``mirrored`` a symmetric table has each unordered pair once, to be
-    merged before `mirror`.
+    merged before `mirror`. Lines in segments (see `sources.pieces`) count as whole lines.
     """
     check_window(window)
     code = weighting_code(weighting)
     coded = encode(lines, vocab, broadcast_bytes=broadcast_bytes)
+    across = _pair_cells(border_pairs(lines, vocab, window, broadcast_bytes), symmetric) if is_cut(lines) else None
     units = exact_units(code, window)
     if units is not None:
-        cells = pair_units(coded, window, units, symmetric).groupBy("row", "col").agg(F.sum("units").alias("val"))
-        denominator = units.denominator
+        pairs = pair_units(coded, window, units, symmetric)
+        if across is not None:
+            worth = F.array(*[F.lit(u).cast("bigint") for u in units.per_distance])
+            pairs = pairs.unionByName(across.select("row", "col", F.element_at(worth, F.col("distance")).alias("units")))
+        cells, denominator = pairs.groupBy("row", "col").agg(F.sum("units").alias("val")), units.denominator
     else:
-        cells, denominator = _weigh_counts(pair_counts(coded, window, symmetric), code, window), 1
+        numbers = pair_counts(coded, window, symmetric)
+        if across is not None:
+            numbers = numbers.unionByName(across.withColumn("n", F.lit(1).cast("bigint")))
+        cells, denominator = _weigh_counts(numbers, code, window), 1
     return (mirror(cells) if symmetric and mirrored else cells), denominator
 
 
+def _pair_cells(pairs: DataFrame, symmetric: bool) -> DataFrame:
+    """Pairs as ``row, col, distance``; in the symmetric form the smaller id is the row."""
+    ends = (F.least("left_id", "right_id"), F.greatest("left_id", "right_id")) if symmetric else (F.col("left_id"), F.col("right_id"))
+    return pairs.select(ends[0].alias("row"), ends[1].alias("col"), "distance")
+
+
 def _weigh_counts(counts: DataFrame, code: int, window: int) -> DataFrame:
     """Count exactly first, then add up the weights in order of distance: the same sum in every run."""
     per_distance = counts.groupBy("row", "col", "distance").agg(F.sum("n").alias("n"))

@@ -34,11 +34,14 @@ def encode(
     within this plan only. Each line lies whole and in order in one partition,
     which is what the window operators rely on: a broadcast dictionary leaves the
     words where the scan put them, and no token is ever shuffled. A dictionary
-    over ``broadcast_bytes`` is joined by shuffle instead.
+    over ``broadcast_bytes`` is joined by shuffle instead. Lines in parts bring their
+    own ``line_id`` (see `sources.pieces`), which no more than one byte range shares.
     """
     carry = list(carry)
-    numbered = lines.withColumn("line_id", F.monotonically_increasing_id())
-    stream = tokens(numbered, ["line_id", *carry])
+    if {"line_id", "base"} <= set(lines.columns):
+        stream = tokens(lines, ["line_id", "base", *carry]).withColumn("pos", F.col("base") + F.col("pos"))
+    else:
+        stream = tokens(lines.withColumn("line_id", F.monotonically_increasing_id()), ["line_id", *carry])
     ids = vocab.select("word", "id")
     if vocabulary_bytes(vocab) <= broadcast_bytes:
         coded = stream.join(F.broadcast(ids), "word")

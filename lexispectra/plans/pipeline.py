@@ -12,8 +12,8 @@ from lexispectra.operators.vocabulary import build_vocab, word_count
 from lexispectra.plans.params import TrainParams
 from lexispectra.runtime import clear_outputs, stage
 from lexispectra.sources.cooccurrence import read_cooccurrence_bin, write_cooccurrence_bin
-from lexispectra.sources.corpus import read_corpus
 from lexispectra.sources.embedding import write_embedding
+from lexispectra.sources.pieces import read_corpus_files
 from lexispectra.sources.vocabulary import read_vocabulary, write_vocabulary
 
 
@@ -55,7 +55,7 @@ def train_files(
     Outputs that exist are refused before any work, or replaced with ``overwrite``.
     """
     clear_outputs(spark, [output, vocab_out if vocab_in is None else None, cooccurrence_out], overwrite)
-    lines = read_corpus(spark, corpus, encoding)
+    lines = read_corpus_files(spark, corpus, encoding)
     if vocab_in is not None:
         vocab = read_vocabulary(spark, vocab_in, encoding)
     else:
@@ -94,7 +94,7 @@ def vocabulary_files(
 ) -> None:
     """Text files to a vocabulary file alone."""
     clear_outputs(spark, [vocab_out], overwrite)
-    write_vocabulary(build_vocab(read_corpus(spark, corpus, encoding), min_count, max_vocab), vocab_out, encoding)
+    write_vocabulary(build_vocab(read_corpus_files(spark, corpus, encoding), min_count, max_vocab), vocab_out, encoding)
 
 
 def cooccurrence_files(
@@ -111,7 +111,7 @@ def cooccurrence_files(
     """Text files and a vocabulary file to a binary count file alone."""
     clear_outputs(spark, [output], overwrite)
     words = read_vocabulary(spark, vocab, encoding)
-    write_cooccurrence_bin(count_cooccurrence(read_corpus(spark, corpus, encoding), words, window, weighting, symmetric), output)
+    write_cooccurrence_bin(count_cooccurrence(read_corpus_files(spark, corpus, encoding), words, window, weighting, symmetric), output)
 
 
 def statistics(lines: DataFrame, vocab: DataFrame, cells: DataFrame, cutoff: float | None = None) -> DataFrame:
