@@ -82,6 +82,8 @@ _CODED = _coded("d_words", _DOC, "d_")
 _PAIRS = _pairs(_DOC, "d_")
 _DOCS = (_LINES, _VOCAB, _CODED, _PAIRS)
 _TALKS = (_TALK_LINES, _coded("c_words", _TALK, "c_"), _pairs(_TALK, "c_"))
+_LONG = "(SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)"
+_LONG_LINES = (_corpus(_LONG, "doc_id", "l_"), _vocab("l_words"), _coded("l_words", _DOC, "l_"), _pairs(_DOC, "l_"))
 _RANKED = _with(_LINES, _VOCAB, then='SELECT id, word, "count" FROM vocab')
 _SYMMETRIC = _with(*_DOCS, _cells("d_", _INVERSE), then="SELECT * FROM d_cells")
 _ASYMMETRIC = (*_DOCS, _cells("d_", _SCALED, symmetric=False))
@@ -216,6 +218,7 @@ ORACLES: dict[str, str] = {
     "cooc_asymmetric": _with(*_DOCS, _cells("d_", _INVERSE, symmetric=False), then="SELECT * FROM d_cells"),
     **{f"cooc_weighting_{code}": _weighting(code) for code in WEIGHTINGS},
     "cooc_given_vocab": _with(_LINES, _VOCAB, *_TALKS, _cells("c_", _INVERSE), then="SELECT * FROM c_cells"),
+    "cooc_cut_lines": _with(*_LONG_LINES, _cells("l_", _INVERSE), then="SELECT * FROM l_cells"),
     "cooc_merge": _merged(),
     "cooc_roundtrip": _SYMMETRIC,
     "row_marginal": _with(*_ASYMMETRIC, then='SELECT "row", sum(val) AS row_total FROM d_cells GROUP BY "row"'),

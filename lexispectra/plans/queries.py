@@ -23,11 +23,13 @@ from lexispectra.runtime import spread, stage, stage_root
 from lexispectra.sources.cooccurrence import read_cooccurrence_bin, read_cooccurrence_records, write_cooccurrence_bin
 from lexispectra.sources.corpus import read_corpus_table, tokens
 from lexispectra.sources.embedding import write_embedding
+from lexispectra.sources.pieces import read_corpus_pieces
 from lexispectra.sources.vocabulary import read_vocabulary, write_vocabulary
 
 MIN_COUNT = 10
 WINDOW = 10
 MAX_VOCAB = 2000
+CUT_SPLIT_BYTES, CUT_LINE_BYTES = 256 * 1024, 256
 CUTOFF, SHIFT = -2.5, 2.5
 PARAMS = TrainParams(min_count=MIN_COUNT, window=WINDOW, pmi_cutoff=CUTOFF, pmi_shift=SHIFT, dimension=50)
 LINE_KEY = ["doc_id", "line_no"]
@@ -174,6 +176,14 @@ def cooc_given_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return count_cooccurrence(conversations(spark, sf), vocabulary(spark, sf), WINDOW)
 
 
+def cooc_cut_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as one line of a text file, read in ranges so short that many lines are cut."""
+    path = fresh_path(spark, "long-lines")
+    spark.read.parquet(f"{sf}/documents.parquet").select(F.replace("text", F.lit("\n"), F.lit(" "))).write.text(path)
+    lines = read_corpus_pieces(spark, path, split_bytes=CUT_SPLIT_BYTES, line_bytes=CUT_LINE_BYTES)
+    return count_cooccurrence(lines, build_vocab(lines, MIN_COUNT), WINDOW)
+
+
 def cooc_merge(spark: SparkSession, sf: str) -> DataFrame:
     vocab = vocabulary(spark, sf)
     both = documents(spark, sf), conversations(spark, sf)
@@ -332,6 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cooc_asymmetric": cooc_asymmetric,
     **{f"cooc_weighting_{code}": cooc_weighting(code) for code in WEIGHTINGS},
     "cooc_given_vocab": cooc_given_vocab,
+    "cooc_cut_lines": cooc_cut_lines,
     "cooc_merge": cooc_merge,
     "cooc_roundtrip": cooc_roundtrip,
     "cooc_sorted": cooc_sorted,
