@@ -1,4 +1,4 @@
-"""Substring dedup: documents are factored against indexed reference blocks of the corpus itself."""
+"""Substring dedup: every window of a document is looked up in an indexed reference block of the corpus itself."""
 
 from __future__ import annotations
 
@@ -68,12 +68,12 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def factors(hashes: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy parse of the windows of a block against the block: source of each window, or -1, and where factors begin.
+    """Windows of a block looked up in the block: source of each window, or -1, and where runs of equal windows begin.
 
     ``hashes`` has two rows, which together identify a window; ``follows`` marks
     windows that continue the one before. The index is the sorted hashes; a window's source
-    is the next equal one, in a circle. A factor goes on while the next window's source is the next place of
-    the same source; where it ends, the windows across the boundary are looked up as well, so none is missed.
+    is the next equal one, in a circle. A run goes on while the next window's source is the next place of
+    the same source. Each window is looked up on its own, so none is missed where a run ends.
     """
     n = hashes.shape[1]
     order = np.lexsort((hashes[1], hashes[0]))
@@ -97,9 +97,9 @@ _FOUND = "id BIGINT, th BIGINT, start INT, stop INT, h1 BIGINT, h2 BIGINT, alone
 
 
 def _parse(table: pa.Table) -> pa.Table:
-    """Factor the phrases of one reference block against all of it.
+    """Look up the windows of one reference block's phrases in all of it.
 
-    Gives the word spans of the factors; for phrases of hot anchors also each distinct
+    Gives the word spans of the runs found; for phrases of hot anchors also each distinct
     window once, since other blocks may hold the same.
     """
     table = table.combine_chunks()
@@ -149,7 +149,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Every phrase of every text sends its anchor; anchors found at one place only
        cannot belong to a repeated window, and their phrases are done.
     2. The other phrases go to the reference block of their anchor. A block holds all phrases
-       of its anchors, as text, and each is factored greedily against it.
+       of its anchors, as text, and each of their windows is looked up in it.
     3. Phrases of an anchor with more than HOT places are dealt to several blocks, and their
        distinct windows, one for each block, are counted across blocks.
 
