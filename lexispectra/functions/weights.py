@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 from fractions import Fraction
 
 from pyspark.sql import Column
@@ -20,6 +21,8 @@ WEIGHTINGS = {
 
 # Largest common denominator that leaves a BIGINT room for 9e12 pairs per cell.
 _MAX_DENOMINATOR = 1_000_000
+# Decimals of a weight that has no small denominator.
+FIXED_DIGITS = 18
 
 
 def weighting_code(weighting: int | str) -> int:
@@ -55,6 +58,19 @@ def weight_column(weighting: int | str, distance: Column) -> Column:
     return F.lit(float(code)) / (d + F.lit(float(code - 1)))
 
 
+def fixed_weights(weighting: int | str, window: int) -> tuple[Decimal, ...]:
+    """Weights at distance 1..window, rounded to `FIXED_DIGITS` decimals."""
+    code = weighting_code(weighting)
+    with localcontext() as context:
+        context.prec = 2 * FIXED_DIGITS + 10
+        found = []
+        for d in range(1, window + 1):
+            exact = _fraction(code, d)
+            value = 1 / Decimal(d).sqrt() if exact is None else Decimal(exact.numerator) / exact.denominator
+            found.append(value.quantize(Decimal(1).scaleb(-FIXED_DIGITS)))
+        return tuple(found)
+
+
 @dataclass(frozen=True)
 class Units:
     """Weights at distance 1..window as integers over one denominator."""
@@ -64,7 +80,7 @@ class Units:
 
 
 def exact_units(weighting: int | str, window: int) -> Units | None:
-    """Integer weights, or None if the weights are irrational or need too large a denominator.
+    """Integer weights, or None if the weights are irrational or need too large a denominator (see `fixed_weights`).
 
     Integer sums do not depend on the order of the shuffle, so counts stay
     identical from run to run and after the loss of an executor.

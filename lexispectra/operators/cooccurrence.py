@@ -7,12 +7,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexispectra.functions.weights import exact_units, weight, weighting_code
+from lexispectra.functions.weights import FIXED_DIGITS, exact_units, fixed_weights, weighting_code
 from lexispectra.operators.borders import border_pairs, is_cut
 from lexispectra.operators.encoding import BROADCAST_BYTES, encode
 from lexispectra.operators.windows import check_window, pair_counts, pair_units
 
+# Cells whose weights have no small denominator: two digits are left for sums of them, 18 for whole numbers.
+FIXED_CELL = T.DecimalType(38 - 2, FIXED_DIGITS)
+
 
 def count_cooccurrence(
     lines: DataFrame,
@@ -43,8 +47,8 @@ def cooccurrence_units(
 ) -> tuple[DataFrame, int]:
     """The counts times a common denominator, and that denominator.
 
-    Scaled counts are BIGINT wherever the weights allow it, so sums over
-    them are exact. Values that depend only on ratios, such as PMI, can use them
+    Scaled counts are BIGINT wherever the weights allow it and decimals of 18 places
+    elsewhere, so sums over them are exact and the same in any order. Values that depend only on ratios, such as PMI, can use them
     directly. Without ``mirrored`` a symmetric table has each unordered pair once, to be
     merged before `mirror`. Lines in segments (see `sources.pieces`) count as whole lines.
     """
@@ -74,21 +78,10 @@ def _pair_cells(pairs: DataFrame, symmetric: bool) -> DataFrame:
 
 
 def _weigh_counts(counts: DataFrame, code: int, window: int) -> DataFrame:
-    """Count exactly first, then add up the weights in order of distance: the same sum in every run."""
-    per_distance = counts.groupBy("row", "col", "distance").agg(F.sum("n").alias("n"))
-    # At most one entry per distance, so the list holds no more than `window` of them.
-    by_distance = F.array_sort(F.collect_list(F.struct("distance", "n")))
-    weights = F.array(*[F.lit(weight(code, d)) for d in range(1, window + 1)])
-    return (
-        per_distance.groupBy("row", "col")
-        .agg(by_distance.alias("parts"))
-        .withColumn("weights", weights)
-        .select("row", "col", F.aggregate("parts", F.lit(0.0), _add_part).alias("val"))
-    )
-
-
-def _add_part(total: Column, part: Column) -> Column:
-    return total + part["n"].cast("double") * F.element_at(F.col("weights"), part["distance"])
+    """Sums of decimal weights: one aggregation, and equal digits in any order of the pairs."""
+    weights = F.array(*[F.lit(w).cast(T.DecimalType(FIXED_DIGITS + 1, FIXED_DIGITS)) for w in fixed_weights(code, window)])
+    worth = F.col("n").cast("decimal(12,0)") * F.element_at(weights, F.col("distance"))
+    return counts.groupBy("row", "col").agg(F.sum(worth).cast(FIXED_CELL).alias("val"))
 
 
 def mirror(cells: DataFrame) -> DataFrame:
@@ -98,8 +91,9 @@ def mirror(cells: DataFrame) -> DataFrame:
         return F.struct(F.col(row).alias("row"), F.col(col).alias("col"), val.alias("val"))
 
     val = F.col("val")
+    twice = (val + val).cast(cells.schema["val"].dataType)
     both = F.array(cell("row", "col", val), cell("col", "row", val))
-    once = F.array(cell("row", "col", val * 2))
+    once = F.array(cell("row", "col", twice))
     return cells.select(F.inline(F.when(F.col("row") == F.col("col"), once).otherwise(both)))
 
 
@@ -123,4 +117,7 @@ def merge_cooccurrence(*tables: DataFrame) -> DataFrame:
     if not tables:
         raise ValueError("nothing to merge")
     together = reduce(DataFrame.unionByName, tables)
-    return together.groupBy("row", "col").agg(F.sum("val").alias("val"))
+    total = F.sum("val")
+    if together.schema["val"].dataType == FIXED_CELL:
+        total = total.cast(FIXED_CELL)
+    return together.groupBy("row", "col").agg(total.alias("val"))

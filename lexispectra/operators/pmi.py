@@ -43,7 +43,7 @@ def pmi(
 
     ``cutoff`` then keeps the cells with at least that value and ``shift`` is
     added to what is kept. The table is read for each kind of sum and for the
-    cells, so stage it first; whole numbers add up exactly in any order, and the grand
+    cells, so stage it first; whole numbers and decimals add up exactly in any order, and the grand
     total is the sum of the row sums. The sums are staged, broadcast up to
     `BROADCAST_IDS` of them, and beyond it joined by shuffle, where Spark splits skewed
     rows. A symmetric table needs only its row sums.

@@ -3,9 +3,10 @@ import math
 import pytest
 
 import naive
-from lexispectra.functions.weights import exact_units, weight, weighting_code
+from lexispectra.functions.weights import exact_units, fixed_weights, weight, weighting_code
 from lexispectra.operators import windows as W
-from lexispectra.operators.cooccurrence import count_cooccurrence, count_corpora, merge_cooccurrence
+from lexispectra.operators import pmi as P
+from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, count_corpora, merge_cooccurrence, mirror
 from lexispectra.operators.encoding import encode
 from lexispectra.operators.vocabulary import build_vocab
 
@@ -54,7 +55,7 @@ def test_weights():
             weighting_code(wrong)
 
 
-# Window 25 has no small common denominator, so it takes the path of exact counts per distance.
+# Window 25 has no small common denominator, so it takes the path of decimal weights.
 @pytest.mark.parametrize("window", [1, 6, 25])
 @pytest.mark.parametrize("code", [0, 1, 2, 3, 4])
 @pytest.mark.parametrize("symmetric", [True, False])
@@ -123,3 +124,45 @@ def test_corpora_are_counted_as_whole_numbers_and_mirrored_last(lines):
         apart = merge_cooccurrence(*[count_cooccurrence(x, vocab, 3, symmetric=symmetric) for x in (first, second)])
         found, expected = ({(r["row"], r["col"]): r["val"] for r in t.collect()} for t in (together, apart))
         assert found == pytest.approx(expected)
+
+
+def test_decimal_weights_are_the_nearest():
+    for code in range(5):
+        for d, found in enumerate(fixed_weights(code, 40), 1):
+            assert -found.as_tuple().exponent == 18 and float(found) == pytest.approx(weight(code, d), rel=1e-15)
+
+
+@pytest.mark.parametrize("weighting,window", [(4, 5), (1, 30), (3, 30)])
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_sums_have_equal_digits_in_any_order(lines, vocab, monkeypatch, weighting, window, symmetric):
+    texts = naive.corpus(13, lines=25)
+    ids = naive.vocabulary(texts, 2)
+    words = vocab(sorted(ids, key=ids.get))
+    worth = fixed_weights(weighting, window)
+    expected = {}
+    for text in texts:
+        known = [ids[w] for w in text.split() if w in ids]
+        for right, b in enumerate(known):
+            for d in range(1, min(window, right) + 1):
+                a = known[right - d]
+                for cell in [(a, b), (b, a)][: 2 if symmetric else 1]:
+                    expected[cell] = expected.get(cell, 0) + worth[d - 1]
+    sums = {}
+    for (a, _), v in expected.items():
+        sums[a] = sums.get(a, 0) + v
+    for partitions, step, order in [(1, 4_000_000, texts), (3, 40, texts[::-1]), (7, 9, texts[::2] + texts[1::2])]:
+        monkeypatch.setattr(W, "PAIRS_PER_STEP", step)
+        found, denominator = cooccurrence_units(lines(order, partitions), words, window, weighting, symmetric)
+        assert denominator == 1 and cells(found) == expected
+        assert {r["row"]: r["row_total"] for r in P.row_marginal(found).collect()} == sums
+        assert P.cooc_total(found.repartition(partitions)).first()["total"] == sum(sums.values())
+
+
+def test_decimal_cells_merge_and_mirror_without_loss(lines, vocab):
+    texts = naive.corpus(14)
+    ids = naive.vocabulary(texts, 3)
+    words = vocab(sorted(ids, key=ids.get))
+    halves = [cooccurrence_units(lines(part), words, 6, 4, True, mirrored=False)[0] for part in (texts[:20], texts[20:])]
+    whole = cooccurrence_units(lines(texts), words, 6, 4, True)[0]
+    together = mirror(merge_cooccurrence(*halves))
+    assert cells(together) == cells(whole) and together.schema["val"].dataType == whole.schema["val"].dataType
