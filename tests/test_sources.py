@@ -59,6 +59,32 @@ def test_cooccurrence_bytes(spark, tmp_path):
     assert [p.name for p in (tmp_path / "cooc").iterdir() if not p.name.startswith("part-")] == []
 
 
+def test_a_job_that_fails_leaves_no_file(spark, tmp_path):
+    value = F.when(F.col("id") == 777, F.raise_error(F.lit("no such cell")).cast("double")).otherwise(F.lit(1.0))
+    cells = spark.range(1, 1000, numPartitions=6).select(F.col("id").cast("int").alias("row"), F.lit(1).alias("col"), value.alias("val"))
+    path = str(tmp_path / "cooc")
+    with pytest.raises(Exception, match="no such cell"):
+        write_cooccurrence_bin(cells, path)
+    assert not (tmp_path / "cooc").exists()
+    write_cooccurrence_bin(cells.where("row != 777"), path)
+    assert read_cooccurrence_bin(spark, path).count() == 998
+
+
+def test_attempts_that_do_not_count_are_dropped(spark, tmp_path):
+    writer, path = C.RecordWriter(str(tmp_path / "cooc"), "_attempts-1"), tmp_path / "cooc"
+    (path / "_attempts-1").mkdir(parents=True)
+    for name in "abcd":
+        (path / "_attempts-1" / name).write_bytes(name.encode())
+    done = [C._Written(7, f"{path}/_attempts-1/a"), None, C._Written(2, None), C._Written(1, f"{path}/_attempts-1/c")]
+    writer.commit(done)
+    assert {p.name: p.read_bytes() for p in path.iterdir()} == {"part-00000.bin": b"c", "part-00001.bin": b"a"}
+
+
+def test_an_empty_count_table_is_an_empty_folder(spark, tmp_path):
+    write_cooccurrence_bin(spark.createDataFrame([], CELLS), str(tmp_path / "cooc"))
+    assert list((tmp_path / "cooc").iterdir()) == []
+
+
 def test_cooccurrence_roundtrip_over_many_ranges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(C, "READ_BYTES", 160)
     rng = np.random.default_rng(5)
