@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 # Send our task functions to the executors by value, so that the package needs no installation there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+from lexispectra.metrics import RunMetrics  # noqa: E402
 from lexispectra.operators.cooccurrence import count_cooccurrence  # noqa: E402
 from lexispectra.operators.pmi import pmi  # noqa: E402
 from lexispectra.operators.svd import svd  # noqa: E402
@@ -23,6 +24,7 @@ from lexispectra.plans.pipeline import (  # noqa: E402
 )
 
 __all__ = [
+    "RunMetrics",
     "TrainParams",
     "build_vocab",
     "cooccurrence_files",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispectra.metrics import RunMetrics
 from lexispectra.operators.ranking import with_global_rank
-from lexispectra.runtime import stage
+from lexispectra.runtime import drop_staged, stage
 from lexispectra.sources.corpus import words
 
 # Fixed value: the word that later stages reserve for unknown words.
@@ -55,8 +56,18 @@ def most_frequent(counts: DataFrame, size: int) -> DataFrame:
     return counts.where(F.col("count") > cut["count"]).unionByName(ties.limit(max(0, size - cut["above"])))
 
 
-def build_vocab(lines: DataFrame, min_count: int = 10, max_vocab: int = 0) -> DataFrame:
-    """Count, cut and rank the words of a corpus; the result is a staged table."""
+def build_vocab(lines: DataFrame, min_count: int = 10, max_vocab: int = 0, metrics: RunMetrics | None = None) -> DataFrame:
+    """Count, cut and rank the words of a corpus; the result is a staged table.
+
+    With ``metrics`` the counts of all words are staged too: the ranking samples its input before it sorts it.
+    """
     if min_count < 0 or max_vocab < 0:
         raise ValueError("min_count and max_vocab must not be negative")
-    return stage(rank_vocabulary(refuse_reserved(word_count(lines)), min_count, max_vocab), "vocabulary")
+    counts = refuse_reserved(word_count(lines))
+    if metrics is None:
+        return stage(rank_vocabulary(counts, min_count, max_vocab), "vocabulary")
+    counts = stage(metrics.watch(counts, tokens=F.sum("count"), distinct_words=F.count("*")), "word-counts")
+    ranked = rank_vocabulary(counts, min_count, max_vocab)
+    vocab = stage(metrics.watch(ranked, vocabulary=F.count("*"), tokens_in_vocabulary=F.sum("count")), "vocabulary")
+    drop_staged(counts)
+    return vocab

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispectra.metrics import RunMetrics
 from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccurrence, merge_cooccurrence
 from lexispectra.operators.pmi import matrix_shape, pmi
 from lexispectra.operators.svd import embedding, svd
@@ -17,14 +18,17 @@ from lexispectra.sources.pieces import read_corpus_files
 from lexispectra.sources.vocabulary import read_vocabulary, write_vocabulary
 
 
-def train(lines: DataFrame, params: TrainParams = TrainParams(), vocab: DataFrame | None = None) -> DataFrame:
+def train(
+    lines: DataFrame, params: TrainParams = TrainParams(), vocab: DataFrame | None = None, metrics: RunMetrics | None = None
+) -> DataFrame:
     """Corpus lines to ``id INT, word STRING, vector ARRAY<DOUBLE>``.
 
-    With a given ``vocab`` the limits on count and size are not applied to it.
+    With a given ``vocab`` the limits on count and size are not applied to it. ``metrics`` holds the sizes
+    along the way when the function returns.
     """
     if vocab is None:
-        vocab = build_vocab(lines, params.min_count, params.max_vocab)
-    return _embed_counts(_count(lines, vocab, params)[0], vocab, params, params.symmetric)
+        vocab = build_vocab(lines, params.min_count, params.max_vocab, metrics)
+    return _embed_counts(staged_counts(lines, vocab, params, metrics)[0], vocab, params, params.symmetric, metrics)
 
 
 def embed(
@@ -49,23 +53,24 @@ def train_files(
     cooccurrence_out: str | None = None,
     encoding: str | None = None,
     overwrite: bool = False,
+    metrics: RunMetrics | None = None,
 ) -> None:
     """Text files to an embedding file; uses a vocabulary file or writes the one it makes, keeps the counts if asked.
 
-    Outputs that exist are refused before any work, or replaced with ``overwrite``.
+    ``metrics`` as in `train`. Outputs that exist are refused before any work, or replaced with ``overwrite``.
     """
     clear_outputs(spark, [output, vocab_out if vocab_in is None else None, cooccurrence_out], overwrite)
     lines = read_corpus_files(spark, corpus, encoding)
     if vocab_in is not None:
         vocab = read_vocabulary(spark, vocab_in, encoding)
     else:
-        vocab = build_vocab(lines, params.min_count, params.max_vocab)
+        vocab = build_vocab(lines, params.min_count, params.max_vocab, metrics)
         if vocab_out is not None:
             write_vocabulary(vocab, vocab_out, encoding)
-    cells, denominator = _count(lines, vocab, params)
+    cells, denominator = staged_counts(lines, vocab, params, metrics)
     if cooccurrence_out is not None:
         write_cooccurrence_bin(cells.withColumn("val", F.col("val") / F.lit(float(denominator))), cooccurrence_out)
-    write_embedding(_embed_counts(cells, vocab, params, params.symmetric), output, encoding)
+    write_embedding(_embed_counts(cells, vocab, params, params.symmetric, metrics), output, encoding)
 
 
 def embed_files(
@@ -131,21 +136,29 @@ def statistics(lines: DataFrame, vocab: DataFrame, cells: DataFrame, cutoff: flo
     )
 
 
-def pmi_cells(cooc: DataFrame, params: TrainParams, symmetric: bool) -> DataFrame:
+def pmi_cells(cooc: DataFrame, params: TrainParams, symmetric: bool, metrics: RunMetrics | None = None) -> DataFrame:
     """The PMI table of a staged count table, with the cutoff and shift of ``params``."""
-    return pmi(cooc, params.pmi_cutoff, params.pmi_shift, symmetric=symmetric)
+    cells = pmi(cooc, params.pmi_cutoff, params.pmi_shift, symmetric=symmetric)
+    return cells if metrics is None else metrics.watch(cells, cells_kept=F.count("*"))
 
 
-def _count(lines: DataFrame, vocab: DataFrame, params: TrainParams) -> tuple[DataFrame, int]:
+def staged_counts(
+    lines: DataFrame, vocab: DataFrame, params: TrainParams, metrics: RunMetrics | None = None
+) -> tuple[DataFrame, int]:
+    """The counts of `cooccurrence_units` as a staged table."""
     cells, denominator = cooccurrence_units(lines, vocab, params.window, params.weighting, params.symmetric)
+    if metrics is not None:
+        cells = metrics.watch(cells, cells=F.count("*"))
     return stage(cells, "cooccurrence"), denominator
 
 
-def _embed_counts(cooc: DataFrame, vocab: DataFrame, params: TrainParams, symmetric: bool) -> DataFrame:
+def _embed_counts(
+    cooc: DataFrame, vocab: DataFrame, params: TrainParams, symmetric: bool, metrics: RunMetrics | None = None
+) -> DataFrame:
     # PMI depends on ratios only, so counts in units of their denominator will do and sum exactly.
     shape, last = matrix_shape(cooc).first(), vocab.agg(F.max("id")).first()[0] or 0
     if max(shape["n_rows"] or 0, shape["n_cols"] or 0) > last:
         raise ValueError(f"the counts have ids up to {max(shape)}, the vocabulary only up to {last}")
-    cells = pmi_cells(cooc, params, symmetric)
+    cells = pmi_cells(cooc, params, symmetric, metrics)
     found = svd(cells, params.dimension, method=params.method)
     return embedding(vocab, found.vectors, params.dimension)

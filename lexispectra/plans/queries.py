@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexispectra.functions.text import truncate_word
 from lexispectra.functions.weights import WEIGHTINGS, weight_column
+from lexispectra.metrics import RunMetrics
 from lexispectra.operators import pmi as P
 from lexispectra.operators import residuals as R
 from lexispectra.operators import svd as S
@@ -18,7 +19,7 @@ from lexispectra.operators.cooccurrence import cooccurrence_units, count_cooccur
 from lexispectra.operators.encoding import encode, oov_filter
 from lexispectra.operators.vocabulary import RESERVED_WORD, build_vocab, word_count
 from lexispectra.plans.params import TrainParams
-from lexispectra.plans.pipeline import embed, pmi_cells, statistics, train
+from lexispectra.plans.pipeline import embed, pmi_cells, staged_counts, train
 from lexispectra.runtime import spread, stage, stage_root
 from lexispectra.sources.cooccurrence import read_cooccurrence_bin, read_cooccurrence_records, write_cooccurrence_bin
 from lexispectra.sources.corpus import read_corpus_table, tokens
@@ -224,8 +225,11 @@ def _rounded_pmi(cutoff: float | None, shift: float | None) -> Callable[[SparkSe
 
 
 def pipeline_stats(spark: SparkSession, sf: str) -> DataFrame:
-    vocab, cooc = scaled_counts(spark, sf)
-    return statistics(documents(spark, sf), vocab, P.pmi(cooc, symmetric=True), CUTOFF)
+    """Sizes along a training run up to its matrix, without a pass of their own."""
+    metrics, lines = RunMetrics(), documents(spark, sf)
+    cooc, _ = staged_counts(lines, build_vocab(lines, MIN_COUNT, metrics=metrics), PARAMS, metrics)
+    pmi_cells(cooc, PARAMS, symmetric=True, metrics=metrics).write.format("noop").mode("overwrite").save()
+    return metrics.table(spark)
 
 
 # Matrix and embedding

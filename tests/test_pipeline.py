@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import naive
-from lexispectra import TrainParams, cooccurrence_files, embed, embed_files, statistics, train, train_files, vocabulary_files
+from lexispectra import RunMetrics, TrainParams, cooccurrence_files, embed, embed_files, statistics, train, train_files, vocabulary_files
 from lexispectra.operators.cooccurrence import count_cooccurrence
 from lexispectra.operators.pmi import pmi
 from lexispectra.operators.vocabulary import build_vocab
@@ -125,3 +125,22 @@ def test_unique_and_symmetric_tables_need_fewer_sums(lines):
     cells = count_cooccurrence(corpus, words, PARAMS.window)
     plain, known = (vectors(embed(cells, words, PARAMS, **k)) for k in ({}, {"unique": True, "symmetric": True}))
     assert all(np.allclose(plain[w], known[w], atol=1e-5) for w in plain)
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_a_run_knows_its_sizes(lines, given):
+    texts, metrics = naive.corpus(15), RunMetrics()
+    corpus = lines(texts, 3)
+    words = build_vocab(corpus, PARAMS.min_count)
+    train(corpus, PARAMS, words if given else None, metrics)
+    counts = count_cooccurrence(corpus, words, PARAMS.window)
+    counted = statistics(corpus, words, pmi(counts), PARAMS.pmi_cutoff)
+    expected = {r["metric"]: r["value"] for r in counted.collect() if not given or r["metric"].startswith("cells")}
+    assert metrics.values() == expected and expected["cells_kept"] > 0
+
+
+def test_sizes_of_an_empty_corpus(spark, lines):
+    metrics = RunMetrics()
+    assert build_vocab(lines([" ", ""], 1), 2, metrics=metrics).count() == 0
+    sizes = {r["metric"]: r["value"] for r in metrics.table(spark).collect()}
+    assert sizes == {"tokens": 0, "distinct_words": 0, "vocabulary": 0, "tokens_in_vocabulary": 0}
