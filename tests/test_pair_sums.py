@@ -3,7 +3,10 @@ import pytest
 
 import naive
 from lexispectra.operators import pair_sums as P
-from lexispectra.operators.cooccurrence import count_cooccurrence
+from lexispectra.operators.cooccurrence import count_cooccurrence, count_corpora, merge_cooccurrence
+from lexispectra.operators.svd import sparse_rows
+from lexispectra.plans.params import TrainParams
+from lexispectra.plans.pipeline import staged_counts
 
 
 @pytest.mark.parametrize("bands", [1, 3, 300])
@@ -37,3 +40,30 @@ def test_no_pair_is_a_row_of_the_shuffle(lines, vocab, capsys):
     count_cooccurrence(lines(texts), vocab(sorted(ids, key=ids.get)), 4).explain()
     plan = capsys.readouterr().out
     assert "Aggregate" not in plan.split("FlatMapGroupsInArrow")[1] and plan.count("hashpartitioning(p#") == 1
+
+
+def test_corpora_counted_together_have_the_digits_of_their_tables_merged(lines, vocab):
+    texts = naive.corpus(8, lines=60)
+    ids = naive.vocabulary(texts, 2)
+    words, parts = vocab(sorted(ids, key=ids.get)), [lines(texts[:25]), lines(texts[25:])]
+    together = count_corpora(parts, words, 10)
+    apart = merge_cooccurrence(*[count_cooccurrence(x, words, 10) for x in parts])
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_a_symmetric_table_is_stored_once(lines, vocab):
+    texts = naive.corpus(3, lines=15)
+    ids = naive.vocabulary(texts, 5)
+    cells, _ = staged_counts(lines(texts), vocab(sorted(ids, key=ids.get)), TrainParams(window=4, dimension=2))
+    stored = cells.sparkSession.read.parquet(cells.inputFiles()[0].rsplit("/", 1)[0])
+    assert stored.where("row > col").isEmpty() and cells.count() == 2 * stored.count() - stored.where("row = col").count()
+
+
+def test_sparse_rows_are_sorted_not_collected(spark, capsys):
+    entries = [(r, c, r * 100 + c) for r in (1, 2, 9) for c in (1, 70_000, 5, 65_536, 65_537)]
+    found = sparse_rows(spark.createDataFrame(entries, "row INT, col INT, val BIGINT"), "val")
+    assert {(r["row"], r["piece"]): (r["cols"], r["vals"]) for r in found.collect()} == {
+        (r, p): (cols, [r * 100 + c for c in cols]) for r in (1, 2, 9) for p, cols in ((0, [1, 5, 65_536]), (1, [65_537, 70_000]))
+    }
+    found.explain()
+    assert "ObjectHashAggregate" not in capsys.readouterr().out
