@@ -25,6 +25,8 @@ AGREE = 0.55
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512
 #: Members of buckets that are handed to a task together; most buckets have two or three.
 LOT = 10_000
+#: Members of clusters, by id and hash of the text, up to which all tasks get them (some 64 bytes each) to choose the texts by.
+BROADCAST_NODES = 4_000_000
 _random = np.random.default_rng(31)
 _FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -231,6 +233,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
     nodes = stage(nodes.join(sizes, "root").join(classes.select("node", "row"), "node").select("node", "root", "size", "row.id", "row.th"), "clusters")
+    wanted = nodes.select("id", "th").distinct()
+    if nodes.count() <= BROADCAST_NODES:
+        # Few of the texts are in a cluster; the others need not travel.
+        given = given.join(F.broadcast(wanted), ["id", "th"], "left_semi")
     texts = nodes.join(given, ["id", "th"]).select("node", "root", "size", "text").dropDuplicates(["node"])
     confirmed = _block_pairs(_shingled(texts), "size", CLUSTER_BLOCK).groupBy("root", "p", "q")
     found = components(confirmed.applyInPandas(_linked, "a BINARY, b BINARY"))

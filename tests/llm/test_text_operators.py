@@ -204,3 +204,12 @@ def test_bands_of_small_sets_agree_as_often_as_those_of_large_ones():
     four = near.band_keys(near.signatures(hashes.reshape(-1), np.arange(0, 8001, 4)))
     three = near.band_keys(near.signatures(hashes[:, :3].reshape(-1), np.arange(0, 6001, 3)))
     assert (four == three).mean() == pytest.approx(0.75**4, abs=0.02)
+
+
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_texts_of_clusters_are_found_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(near, "BROADCAST_NODES", most)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:58])), (3, " ".join(words[::-1])), (4, None)]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
