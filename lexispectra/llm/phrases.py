@@ -25,6 +25,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 NO_LANGUAGE = "und"
 #: Frequent words up to which they are numbered and sent to every task; beyond it a word's 64-bit hash is its number.
 NUMBERED = 4_000_000
+#: Bytes of text that a task counts at a time, or one text: they and not the rows of a batch bound its memory.
+STEP_BYTES = 8 << 20
 #: Windows of a task of the sorted stream.
 TASK_WINDOWS = 2_000_000
 #: White space within a piece, and what ends a piece.
@@ -59,6 +61,18 @@ def _keys(words: np.ndarray, language: np.ndarray) -> np.ndarray:
     return mix(words ^ (language * _LANGUAGE)) | np.uint64(1)
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (lang, text) in order, in batches of at most `STEP_BYTES` of text or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        row = 0
+        while row < batch.num_rows:
+            before = ends[row - 1] if row else 0
+            last = max(row + 1, int(np.searchsorted(ends, before + STEP_BYTES, "right")))
+            yield batch.slice(row, last - row)
+            row = last
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[PieceBlock, np.ndarray, pa.Array]]:
     """Blocks of a batch of (lang, text), the keys of their words, and the languages of their texts."""
     spoken = _hashes(batch.column("lang"))
@@ -80,10 +94,10 @@ def _strings(block: Block, numbers: np.ndarray) -> pa.Array:
 
 
 def count_words(given: DataFrame) -> DataFrame:
-    """lang, word, n of all words; combined by batch, by task, then by a shuffle."""
+    """lang, word, n of all words; combined by step, by task, then by a shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             keys, n, words, langs = [], [], [], []
             for block, key, lang in _pieces(batch):
                 distinct, first, times = np.unique(key, return_index=True, return_counts=True)
@@ -159,7 +173,7 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def windows(given: DataFrame, frequent: np.ndarray | None, packing: Packing) -> DataFrame:
-    """Each distinct window of a batch and how often it stands there.
+    """Each distinct window of a step of a task and how often it stands there.
 
     A window begins at every word and goes on for LONGEST words, to the end of the piece or to the first word that is
     not ``frequent`` (sorted keys; None takes all words), since no frequent phrase goes beyond that.
@@ -168,7 +182,7 @@ def windows(given: DataFrame, frequent: np.ndarray | None, packing: Packing) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for batch in batches:
+        for batch in _steps(batches):
             found = []
             for block, key, _ in _pieces(batch):
                 if frequent is None:

@@ -71,6 +71,23 @@ def test_empty_tables_and_nothing_frequent(table):
     assert phrases.collocations(table([("en", "a b c"), (None, None)])).count() == 0
 
 
+def test_a_step_is_bounded_by_bytes_whatever_the_rows_of_a_batch(spark, table, monkeypatch):
+    monkeypatch.setattr(phrases, "STEP_BYTES", 300)
+    seen = spark.sparkContext.accumulator(0)
+    real = phrases._pieces
+
+    def pieces(batch):
+        sizes = [len((t or "").encode()) for t in batch.column("text").to_pylist()]
+        assert len(sizes) == 1 or sum(sizes) <= 300
+        seen.add(len(sizes))
+        return real(batch)
+
+    monkeypatch.setattr(phrases, "_pieces", pieces)
+    rows = corpus(random.Random(9))
+    assert sorted(map(tuple, phrases.collocations(table(rows).repartition(2), least=12).collect())) == brute(rows, 12, 2000)
+    assert seen.value >= 2 * len(rows)
+
+
 def test_repeated_rows_count_again(table):
     (row,) = phrases.collocations(table([("en", "big bang")] * 100)).collect()
     assert tuple(row) == ("en", 1, "big bang", 100, 100, 100, 200, 2000)
