@@ -6,16 +6,16 @@ import os
 import re
 import sys
 from array import array
-from itertools import repeat
+from itertools import accumulate, chain, islice, repeat
 from types import ModuleType
 
 import numpy as np
 
-#: Chunks that a worker process remembers before it starts anew; bounds its memory.
-REMEMBERED = 600_000
+#: Chunks that a worker process remembers before it forgets those it has not met again; bounds its memory.
+REMEMBERED = 300_000
 # Where the library itself may cut differently from white space: separators that
 # only Python counts as white space, and strings of special tokens.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+_WHOLE = "\x1c", "\x1d", "\x1e", "\x1f", "<|"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SPACED = re.compile(rf" ?[{_LETTERS}]+(?=[,.!?;:\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(rf"[{_LETTERS}]+(?=[,.!?;:\s]|\Z)|\S+")
@@ -54,25 +54,39 @@ class Encoder:
     def _forget(self) -> None:
         self._number: dict[str | None, int] = {None: 0}
         self._ids, self._starts = array("I", [self._end]), array("q", [0, 1])
+        self._again = np.zeros(0, bool)
+
+    def _tidy(self) -> None:
+        """Keeps the chunks that were met again since they were learnt or kept, if these are at most half of what may be remembered."""
+        number, ids, starts, again = self._number, self._ids, self._starts, self._again
+        self._forget()
+        if np.count_nonzero(again) <= REMEMBERED // 2:
+            kept = [(c, n) for (c, n), k in zip(islice(number.items(), 1, None), again[1:].tolist()) if k]
+            for chunk, n in kept:
+                self._number[chunk] = len(self._number)
+                self._ids.extend(ids[starts[n] : starts[n + 1]])
+                self._starts.append(len(self._ids))
 
     def _learn(self, chunks: set[str]) -> None:
         simple = (_SPACED_LETTERS if self._spaced else _SMALL_LETTERS).fullmatch
         letters = {c for c in chunks if simple(c)}
         for library, some in ((self._letters, sorted(letters)), (self._library, sorted(chunks - letters))):
-            for chunk, found in zip(some, library.encode_batch_fast(some, add_special_tokens=False)):
-                self._number[chunk] = len(self._number)
-                self._ids.extend(found.ids)
-                self._starts.append(len(self._ids))
+            found = [x.ids for x in library.encode_batch_fast(some, add_special_tokens=False)]
+            ends = accumulate(map(len, found), initial=len(self._ids))
+            next(ends)
+            self._number.update(zip(some, range(len(self._number), len(self._number) + len(some))))
+            self._starts.extend(ends)
+            self._ids.extend(chain.from_iterable(found))
 
     def _chunks(self, text: str) -> list[str]:
-        if _WHOLE.search(text):
+        if any(part in text for part in _WHOLE):
             return [text]
         return _SPACED.findall(text) if self._spaced else _PLAIN.findall(text.encode().lower().decode())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text begins and ends among them; a null is an empty text."""
         if len(self._number) > REMEMBERED:
-            self._forget()
+            self._tidy()
         chunks: list[str | None] = []
         ends = [0]
         for text in texts:
@@ -81,7 +95,9 @@ class Encoder:
             chunks.append(None)
             ends.append(len(chunks))
         number = np.fromiter(map(self._number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        self._again = np.append(self._again, np.zeros(len(self._number) - len(self._again), bool))
         unknown = np.flatnonzero(number < 0)
+        self._again[number[number >= 0]] = True
         new = [chunks[i] for i in unknown.tolist()]
         self._learn(set(new))
         number[unknown] = [self._number[c] for c in new]
