@@ -104,6 +104,42 @@ def test_single_file_with_a_cell_twice(spark, tmp_path):
     assert sorted(tuple(r) for r in found) == [(1, 2, 0.75), (3, 1, 1.0)]
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(row")
+
+
+def test_files_in_rising_order_are_read_without_a_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "READ_BYTES", 32)
+    cells = [(r, c, r / c) for r in range(1, 9) for c in (5, 1, 3)]
+    write_cooccurrence_bin(spark.createDataFrame(cells, CELLS).repartition(3), str(tmp_path / "cooc"))
+    found = read_cooccurrence_bin(spark, str(tmp_path / "cooc"))
+    assert shuffles(found) == 0 and sorted(map(tuple, found.collect())) == sorted(cells)
+    # A cell twice, side by side in two ranges, and records out of order.
+    for records in ([(1, 1, 1.0), (1, 2, 0.5), (1, 2, 0.25), (3, 1, 1.0)], [(1, 1, 1.0), (2, 2, 0.5), (1, 3, 1.0), (1, 1, 0.5)]):
+        (tmp_path / "one.bin").write_bytes(b"".join(struct.pack("<iid", *r) for r in records))
+        found = read_cooccurrence_bin(spark, str(tmp_path / "one.bin"))
+        assert shuffles(found) == 1 and found.count() == 3
+
+
+def test_cells_travel_packed_and_keep_their_bits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "TASK_CELLS", 250)
+    rng = np.random.default_rng(8)
+    ids = rng.permutation(60 * 60)[:3000]
+    values = np.concatenate([rng.random(2990), [0.0, -0.0, np.inf, 5e-324, 1 / 3, -1e300, 1e-300, 2.0, 2.0, 2.0]])
+    cells = [(int(i) // 60 + 2**31 - 60, int(i) % 60 + (1 if i % 2 else 2**31 - 60), float(v)) for i, v in zip(ids, values)]
+    write_cooccurrence_bin(spark.createDataFrame(cells, CELLS).repartition(4), str(tmp_path / "cooc"))
+    assert parts(tmp_path / "cooc", ".bin") == b"".join(struct.pack("<iid", *c) for c in sorted(cells, key=lambda c: c[:2]))
+    assert len(list((tmp_path / "cooc").iterdir())) > 8
+
+
+def test_one_cell_many_times_is_written_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "TASK_CELLS", 100)
+    cells = spark.range(1000).select(F.lit(4).alias("row"), F.lit(7).alias("col"), F.lit(0.5).alias("val"))
+    write_cooccurrence_bin(cells, str(tmp_path / "cooc"))
+    assert parts(tmp_path / "cooc", ".bin") == struct.pack("<iid", 4, 7, 0.5) * 1000
+    assert [tuple(r) for r in read_cooccurrence_bin(spark, str(tmp_path / "cooc")).collect()] == [(4, 7, 500.0)]
+
+
 def test_broken_file(spark, tmp_path):
     (tmp_path / "cooccurrence.bin").write_bytes(b"x" * 17)
     with pytest.raises(ValueError, match="16-byte"):
