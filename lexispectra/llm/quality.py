@@ -144,7 +144,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_measured(batch.column(text_col), bands)["kept"]))
+            # Block by block, so that no second copy of a batch is held.
+            for block in blocks(batch.column(text_col)):
+                yield batch.slice(block.rows.start, len(block)).filter(pa.array(_measure(block, bands)["kept"]))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -54,6 +54,22 @@ def edited(text, share):
     return " ".join(w if random.random() > share else fresh(1) for w in text.split(" "))
 
 
+def test_good_documents_leave_a_batch_block_by_block(spark, docs, monkeypatch):
+    real, sizes = quality.blocks, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(quality, "blocks", lambda texts: real(texts, 3000))
+
+    def whole(*args):
+        sizes.add(1)
+        raise AssertionError("a whole batch was measured at once")
+
+    monkeypatch.setattr(quality, "_measured", whole)
+    text = " ".join(random.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(random.randrange(900)) for _ in range(90))
+    texts = [None, text, "short", "", text + " more words", None, text] * 6
+    given = docs(texts).coalesce(1)
+    assert [r.doc_id for r in quality.keep_good(given).collect()] == [i for i, t in enumerate(texts) if t and len(t) > 99]
+    assert sizes.value == 0
+
+
 def test_near_duplicates(docs, rows):
     base, chain = fresh(120), [fresh(80)]
     for _ in range(6):
