@@ -34,6 +34,17 @@ def test_packed_blocks_give_back_their_sums(monkeypatch, bands, held):
     assert {k: v.tolist() for k, v in found.items()} == {k: v.tolist() for k, v in expected.items()}
 
 
+def test_a_block_of_many_cells_is_not_merged_for_every_row(monkeypatch):
+    monkeypatch.setattr(P, "HELD", 100)
+    held, merges, merge = P._Sums(), [], P._Sums.merge
+    monkeypatch.setattr(P._Sums, "merge", lambda self: (merges.append(self.size), merge(self)))
+    for k in range(400):
+        held.add(np.arange(5) * 400 + k, np.full((1, 5), k + 1))
+    cells, sums = held.take()
+    assert cells.tolist() == list(range(2000)) and sums.tolist() == [[k % 400 + 1 for k in range(2000)]]
+    assert len(merges) < 25
+
+
 def test_no_pair_is_a_row_of_the_shuffle(lines, vocab, capsys):
     texts = naive.corpus(3, lines=15)
     ids = naive.vocabulary(texts, 5)

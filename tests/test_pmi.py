@@ -1,11 +1,13 @@
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 import naive
 from lexispectra.operators import pmi as P
-from lexispectra.operators.cooccurrence import count_cooccurrence
+from lexispectra.operators.cooccurrence import count_cooccurrence, mirror
+from lexispectra.plans.queries import rounded
 
 CELLS = [(1, 1, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 3, 1.0), (3, 2, 1.0)]
 SCHEMA = "row INT, col INT, val DOUBLE"
@@ -57,3 +59,30 @@ def test_sums_agree(lines, vocab):
     assert P.col_marginal(cooc).agg(F.sum("col_total")).first()[0] == pytest.approx(total)
     shape = P.matrix_shape(cooc).first()
     assert (shape["n_rows"], shape["n_cols"]) <= (len(ids), len(ids))
+
+
+@pytest.mark.parametrize("limits", [(3, 3), (0, 3), (0, 0)])
+@pytest.mark.parametrize("kind", ["double", "bigint", "decimal(36,18)"])
+def test_pairs_once_give_the_cells_of_both_directions(spark, monkeypatch, limits, kind):
+    for name, ids in zip(("BROADCAST_IDS", "LOOKUP_IDS"), limits):
+        monkeypatch.setattr(P, name, ids)
+    pairs = spark.createDataFrame([(1, 1, 0.5), (1, 2, 2.0), (2, 3, 1.0)], SCHEMA).withColumn("val", (F.col("val") * 2520).cast(kind))
+    found = P.pmi(pairs, symmetric=True, mirrored=False)
+    assert sorted(found.collect()) == sorted(P.pmi(mirror(pairs), symmetric=True).collect())
+    assert values(found) == pytest.approx(EXPECTED)
+
+
+def test_no_cell_is_shuffled_for_sums_too_many_to_broadcast(spark, monkeypatch, capsys):
+    monkeypatch.setattr(P, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(P, "_read", {})
+    pairs = spark.createDataFrame([(1, 1, 1), (7, 9, 2)], "row INT, col INT, val BIGINT")
+    P.pmi(mirror(pairs), -2.5, 2.5, symmetric=True).explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "inline" not in plan
+
+
+def test_rounding_is_that_of_the_digits(spark):
+    given = [0.0, -0.0, 1e-7, -4e-7, -6e-7, 0.1234565001, -0.1234564999, 2.5, -2.0000004, 17.9999996, -13.3333333333, 6.02214076]
+    expected = [float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for x in given]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i INT, x DOUBLE").select("i", rounded(F.col("x"), 6).alias("x"))
+    assert [r["x"] for r in table.orderBy("i").collect()] == expected
