@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +28,18 @@ MOST_OWN = 1 << 20
 COPY_TOKENS, FAN_IN = 1 << 22, 16
 #: Contexts whose scores are held at a time, so that they stay in the cache.
 SCORED = 128
+#: Most frequent inputs, of whose pairs a task knows all normalisers (64 MB), and the smallest sum that is taken from them.
+FREQUENT, LEAST_SUM = 4096, 1e-25
 BATCH, NOISE, RATE, ROUNDS = 1024, 64, 0.1, 1
 #: Own words that are taught together for each group there is, noise words for those of one group, and rows of a model that travel together.
 LESSON, GROUP_NOISE, CHUNK = 256, 32, 4096
 #: The end of a document as a word hash; also what stands before its first word.
 _END = np.uint64(0xE2D0F7E87)
 _LOG10 = np.log(10.0)
+#: Ending class by the last byte of a word times 256 and the one before it.
+_ENDING_OF = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(ENDINGS)).astype(np.int64)
+#: Bytes of text that are scored together.
+_SCORED_BYTES = 1 << 21
 
 
 @dataclass
@@ -83,9 +90,9 @@ class Vocabulary:
 def _endings(block: Block) -> np.ndarray:
     """Class of each word by its last two bytes, punctuation and digits left as they are."""
     starts, ends = block.bounds
-    last = block.data[ends - 1].astype(np.uint64)
-    before = block.data[np.maximum(ends - 2, starts)].astype(np.uint64)
-    return (mix(last * np.uint64(256) + before) % np.uint64(ENDINGS)).astype(np.int64)
+    last = block.data[ends - 1].astype(np.int64)
+    before = block.data[np.maximum(ends - 2, starts)]
+    return _ENDING_OF[last * 256 + before]
 
 
 def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,8 +106,7 @@ def _context(classes: np.ndarray, doc: np.ndarray, end_class: int) -> np.ndarray
     """The classes before each token, nearest first; before the first word stand ends."""
     before = np.full((CONTEXT, len(classes)), end_class, np.int64)
     for k in range(1, CONTEXT + 1):
-        same = doc[k:] == doc[:-k]
-        before[k - 1, k:][same] = classes[:-k][same]
+        before[k - 1, k:] = np.where(doc[k:] == doc[:-k], classes[:-k], end_class)
     return before
 
 
@@ -114,6 +120,7 @@ class Model:
             size = int(np.prod(shape))
             self.parts.append(np.array(flat[at : at + size], np.float32).reshape(shape))
             at += size
+        self._products: list[np.ndarray] | None = None
 
     @staticmethod
     def shapes(classes: int, words: int) -> tuple:
@@ -137,51 +144,112 @@ class Model:
 
     def predict(self, before: np.ndarray) -> np.ndarray:
         r, c = self.parts[:2]
-        return sum(r[before[i]] @ c[i] for i in range(CONTEXT))
+        if self._products is not None:
+            return sum(p.take(before[i], 0) for i, p in enumerate(self._products))
+        return sum(r.take(before[i], 0) @ c[i] for i in range(CONTEXT))
 
-    def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def settle(self) -> Model:
+        """Multiply all inputs once; the model must not be taught any more."""
+        r, c = self.parts[:2]
+        self._products = [r @ c[i] for i in range(CONTEXT)]
+        return self
+
+    def log_probabilities(self, before: np.ndarray, target: np.ndarray, frequent: Normalisers | None = None, predicted: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the normalised probability of each target class.
 
-        The normaliser depends on the context alone, so it is taken once for each
-        distinct context, in batches of matrix products.
+        The normaliser depends on the context alone, so it is looked up among those of ``frequent`` inputs, or else taken
+        once for each distinct context, in batches of matrix products. ``predicted`` are the vectors of all contexts, if known.
         """
         _, _, q, b, _, _ = self.parts
-        key = before[0]
+        predicted = self.predict(before) if predicted is None else predicted
+        normaliser = np.full(len(target), np.nan, np.float32) if frequent is None else frequent.find(before)
+        rest = np.flatnonzero(np.isnan(normaliser))
+        others = before[:, rest]
+        key = others[0]
         for i in range(1, CONTEXT):
-            key = key * (self.classes + self.words) + before[i]
+            key = key * (self.classes + self.words) + others[i]
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-        predicted = self.predict(before[:, first])
-        scorer, normaliser = _with_bias(q, b), np.empty(len(distinct), np.float32)
+        scorer, found = _with_bias(q, b), np.empty(len(distinct), np.float32)
         for i in range(0, len(distinct), SCORED):
-            normaliser[i : i + SCORED] = _log_sum(predicted[i : i + SCORED], scorer)
+            found[i : i + SCORED] = _log_sum(predicted.take(rest[first[i : i + SCORED]], 0), scorer)
+        normaliser[rest] = found[back]
         out = np.empty(len(target), np.float64)
         for i in range(0, len(target), 1 << 16):
-            t, k = target[i : i + (1 << 16)], back[i : i + (1 << 16)]
-            out[i : i + (1 << 16)] = np.einsum("ij,ij->i", predicted[k], q[t]) + b[t] - normaliser[k]
+            at = slice(i, i + (1 << 16))
+            t = target[at]
+            out[at] = np.einsum("ij,ij->i", predicted[at], q.take(t, 0)) + b[t] - normaliser[at]
         return out
 
-    def own_log_probabilities(self, before: np.ndarray, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def own_log_probabilities(self, before: np.ndarray, own: np.ndarray, starts: np.ndarray, predicted: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of each own word within its group, normalised over the group."""
         wq, wb = self.parts[4:]
-        out = np.empty(len(own), np.float64)
+        predicted = self.predict(before) if predicted is None else predicted
+        out = np.einsum("ij,ij->i", predicted, wq.take(own, 0)).astype(np.float64) + wb[own]
         for g, rows in _by_group(own, starts):
             group = slice(starts[g], starts[g + 1])
-            predicted, target = self.predict(before[:, rows]), own[rows]
-            out[rows] = np.einsum("ij,ij->i", predicted, wq[target]) + wb[target] - _log_sum(predicted, _with_bias(wq[group], wb[group]))
+            out[rows] -= _log_sum(predicted.take(rows, 0), _with_bias(wq[group], wb[group]))
         return out
 
 
+class Normalisers:
+    """Log normalisers of all contexts of frequent inputs, for contexts of two.
+
+    A score is a sum over the words of the context, so its exponential is a product of one number for each of them, and the
+    sums over all classes are one matrix product. Sums too small for 32 bits are left to `Model.log_probabilities`.
+    """
+
+    def __init__(self, model: Model, counts: np.ndarray, most: int = FREQUENT) -> None:
+        r, c, q, b = model.parts[:4]
+        top = np.argsort(-counts, kind="stable")[:most]
+        self._place = np.full(len(counts), -1, np.int32)
+        self._place[top] = np.arange(len(top))
+        factors, peaks = [], []
+        for i, bias in enumerate((np.float32(0), b)):
+            scores = (r[top] @ c[i]) @ q.T + bias
+            peaks.append(scores.max(1))
+            factors.append(np.exp(scores - peaks[-1][:, None]))
+        self._logs = np.empty((len(top), len(top)), np.float32)
+        for i in range(0, len(top), SCORED):
+            sums = factors[0][i : i + SCORED] @ factors[1].T
+            sums[~((sums >= LEAST_SUM) & (sums < np.inf))] = np.nan
+            self._logs[i : i + SCORED] = np.log(sums) + peaks[0][i : i + SCORED, None] + peaks[1]
+
+    def find(self, before: np.ndarray) -> np.ndarray:
+        """The normaliser of each context, or NaN."""
+        first, second = self._place[before[0]], self._place[before[1]]
+        found = np.full(before.shape[1], np.nan, np.float32)
+        held = np.flatnonzero((first >= 0) & (second >= 0))
+        found[held] = self._logs[first[held], second[held]]
+        return found
+
+
+# The normalisers of the model that this Python worker scored by last.
+_known: dict[int, Normalisers] = {}
+
+
+def _normalisers(model: Model, vocab: Vocabulary, flat: np.ndarray) -> Normalisers:
+    name = zlib.crc32(flat.tobytes())
+    if name not in _known:
+        _known.clear()
+        # Groups are never inputs, only their words.
+        _known[name] = Normalisers(model, np.concatenate([vocab.class_tokens[:CLASSES], np.zeros(len(vocab.class_tokens) - CLASSES), vocab.own_counts]))
+    return _known[name]
+
+
 def _with_bias(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.column_stack([q, b]).T)
 
 
 def _log_sum(predicted: np.ndarray, scorer: np.ndarray) -> np.ndarray:
     """Log of the sum of exp over all scores; only where that leaves the range of the numbers are scores taken relative to the largest."""
-    scores = predicted @ scorer[:-1]
-    scores += scorer[-1]
+    one = np.ones((len(predicted), 1), np.float32)
+    whole = np.concatenate([predicted, one], axis=1)  # the last row of the scorer is the bias
+    scores = whole @ scorer
     with np.errstate(over="ignore", divide="ignore"):
-        found = np.log(np.exp(scores).sum(1))
+        np.exp(scores, out=scores)
+        found = np.log(scores @ np.ones(scores.shape[1], np.float32))
     if not np.isfinite(found).all():
+        scores = whole @ scorer
         top = scores.max(1)
         found = top + np.log(np.exp(scores - top[:, None]).sum(1))
     return found
@@ -200,8 +268,26 @@ def _by_group(own: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.nda
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows and the sum of the values of each."""
     order = np.argsort(rows, kind="stable")
-    distinct, starts = np.unique(rows[order], return_index=True)
-    return distinct, np.add.reduceat(values[order], starts, axis=0)
+    ordered = rows[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[starts], np.add.reduceat(values.take(order, 0), starts, axis=0)
+
+
+def _climb(part: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+    """A step of Adagrad on some rows."""
+    held = squares.take(at, 0)
+    held += grad * grad
+    squares[at] = held
+    part[at] = part.take(at, 0) + RATE * grad / np.sqrt(held)
+
+
+def _push(scores: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Minus the logistic function of scores and bias, in place."""
+    scores += bias
+    np.negative(scores, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.divide(np.float32(-1), scores, out=scores)
 
 
 class Trainer:
@@ -225,41 +311,42 @@ class Trainer:
         n = len(target)
         noise = np.minimum(np.searchsorted(self._cumulative, self._random.random(NOISE)), len(q) - 1)
         predicted = self.model.predict(before)
-        good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", predicted, q[target]) + b[target] - self._log[target])))
-        bad = 1 / (1 + np.exp(-(predicted @ q[noise].T + b[noise] - self._log[noise])))
+        wanted, unwanted = q.take(target, 0), q.take(noise, 0)
+        good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", predicted, wanted) + b[target] - self._log[target])))
         pull = (1 - good) / n  # ascent on the log likelihood of data against noise
-        push = -bad / n
-        onto = pull[:, None] * q[target] + push @ q[noise]
+        push = _push(predicted @ unwanted.T, b[noise] - self._log[noise])
+        push /= n
+        onto = pull[:, None] * wanted + push @ unwanted
         gq, gb = np.zeros_like(q), np.zeros_like(b)
         rows, seen = _summed(target, np.column_stack([pull[:, None] * predicted, pull]))
         gq[rows], gb[rows] = seen[:, :-1], seen[:, -1]
         np.add.at(gq, noise, push.T @ predicted)
-        np.add.at(gb, noise, push.sum(0))
-        gc = np.stack([r[before[i]].T @ onto for i in range(CONTEXT)])
+        np.add.at(gb, noise, np.ones(n, np.float32) @ push)
+        gc = np.stack([r.take(before[i], 0).T @ onto for i in range(CONTEXT)])
         # Few of the input vectors are in a batch.
         rows, gr = _summed(before.reshape(-1), np.concatenate([onto @ c[i].T for i in range(CONTEXT)]))
-        for part, grad, squares, at in zip(self.model.parts, (gr, gc, gq, gb), self._squares, (rows, slice(None), slice(None), slice(None))):
-            squares[at] += grad * grad
-            part[at] += RATE * grad / np.sqrt(squares[at])
+        _climb(r, self._squares[0], rows, gr)
+        for part, grad, squares in zip((c, q, b), (gc, gq, gb), self._squares[1:]):
+            squares += grad * grad
+            part += RATE * grad / np.sqrt(squares)
 
     def own_words(self, before: np.ndarray, own: np.ndarray) -> None:
         """Teach own words against noise from their group, given the vectors predicted from their contexts."""
         wq, wb = self.model.parts[4:]
-        sums = self._own_cumulative
+        sums, vectors = self._own_cumulative, self.model.predict(before)
         for g, rows in _by_group(own, self._starts):
             a, b = self._starts[g], self._starts[g + 1]
             noise = np.searchsorted(sums, sums[a] + self._random.random(GROUP_NOISE) * (sums[b] - sums[a]), "right") - 1
             noise = np.clip(noise, a, b - 1)
-            target, predicted = own[rows], self.model.predict(before[:, rows])
+            target, predicted = own[rows], vectors.take(rows, 0)
             total = np.float32(np.log(sums[b] - sums[a]))  # biases are logs of counts
-            good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", predicted, wq[target]) + wb[target] - total - self._own_log[target])))
-            bad = 1 / (1 + np.exp(-(predicted @ wq[noise].T + wb[noise] - total - self._own_log[noise])))
-            pull = (1 - good)[:, None]
-            values = np.concatenate([np.column_stack([pull * predicted, pull]), np.column_stack([-bad.T @ predicted, -bad.sum(0)])])
+            good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", predicted, wq.take(target, 0)) + wb[target] - total - self._own_log[target])))
+            push = _push(predicted @ wq.take(noise, 0).T, wb[noise] - total - self._own_log[noise])
+            whole = np.concatenate([predicted, np.ones((len(rows), 1), np.float32)], axis=1)
+            values = np.concatenate([(1 - good)[:, None] * whole, push.T @ whole])
             at, grad = _summed(np.append(target, noise), values)
             for part, step, squares in zip((wq, wb), (grad[:, :-1], grad[:, -1]), self._own_squares):
-                squares[at] += step * step
-                part[at] += RATE * step / np.sqrt(squares[at])
+                _climb(part, squares, at, step)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -446,19 +533,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat = shared.value
-        model, end = Model(flat, *vocab.shape), _end_input(vocab)
+        model, end = Model(flat, *vocab.shape).settle(), _end_input(vocab)
+        frequent = _normalisers(model, vocab, flat)
         spread = np.log10(vocab.ending_tokens + vocab.ending_words + 1.0)
         log_counts = np.log10(vocab.counts + 1.0)
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), _SCORED_BYTES):
                 words, endings, doc = _tokens(block.lower())
                 at, known = vocab.find(words)
                 classes = vocab.classes_of(words, endings, at, known)
                 own_word = vocab.own_of(at, known)
                 before = _context(vocab.inputs(classes, own_word), doc, end)
-                found = model.log_probabilities(before, classes)
+                predicted = model.predict(before)
+                found = model.log_probabilities(before, classes, frequent, predicted)
                 held = np.flatnonzero(own_word >= 0)
-                found[held] += model.own_log_probabilities(before[:, held], own_word[held], vocab.starts)
+                found[held] += model.own_log_probabilities(before[:, held], own_word[held], vocab.starts, predicted.take(held, 0))
                 found /= _LOG10
                 shared_class = (classes >= WORDS) & (classes < CLASSES)
                 found[shared_class] -= spread[classes[shared_class] - WORDS]

@@ -159,3 +159,24 @@ def test_subwords_are_those_of_each_word():
     assert doc.tolist() == [0, 2] and set(buckets[owner == 1]) < set(buckets[owner == 0])
     # " ab ": 2 + 1 n-grams of 3 and 4 bytes and the word; " abc ": 3 + 2 + 1 and the word.
     assert (owner == 1).sum() == 4 and (owner == 0).sum() == 4 + 7
+
+
+def test_normalisers_of_frequent_contexts_are_those_of_each_context(monkeypatch):
+    """Contexts beyond the table and sums beyond 32 bits are left to the plain way; few contexts are summed one by one."""
+    numbers, words = np.random.default_rng(3), 300
+    model = lm.Model(numbers.normal(0, 0.5, lm.Model.start(np.ones(lm.CLASSES), np.ones(words)).flat().size), words=words).settle()
+    model.parts[0][:2] *= 400
+    model.settle()
+    counts = numbers.integers(1, 1000, lm.CLASSES + words)
+    counts[:2] = 2000
+    frequent = lm.Normalisers(model, counts, 500)
+    before, target = numbers.integers(0, len(counts), (2, 5000)), numbers.integers(0, lm.CLASSES, 5000)
+    before[:, :4] = [[0, 1, 0, 1], [1, 0, 0, 1]]
+    rows, log_sum = [], lm._log_sum
+    monkeypatch.setattr(lm, "_log_sum", lambda p, s: (rows.append(len(p)), log_sum(p, s))[1])
+    plain = model.log_probabilities(before, target)
+    every = sum(rows)
+    found = model.log_probabilities(before, target, frequent)
+    assert np.allclose(found, plain, rtol=1e-5, atol=1e-4) and np.isfinite(found).all()
+    held = np.isfinite(frequent.find(before))
+    assert 0.2 < held.mean() < 0.7 and sum(rows) - every <= (~held).sum()
