@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import naive
+from lexispectra.metrics import RunMetrics
 from lexispectra.operators import pmi as P
 from lexispectra.operators.cooccurrence import count_cooccurrence, mirror
+from lexispectra.plans.params import TrainParams
+from lexispectra.plans.pipeline import pmi_cells
 from lexispectra.plans.queries import rounded
 
 CELLS = [(1, 1, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 3, 1.0), (3, 2, 1.0)]
@@ -86,3 +89,17 @@ def test_rounding_is_that_of_the_digits(spark):
     expected = [float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for x in given]
     table = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i INT, x DOUBLE").select("i", rounded(F.col("x"), 6).alias("x"))
     assert [r["x"] for r in table.orderBy("i").collect()] == expected
+
+
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_pairs_once_and_their_cells_kept(spark, mirrored):
+    pairs = spark.createDataFrame([(1, 1, 5), (1, 2, 4), (2, 3, 2), (3, 3, 1)], "row INT, col INT, val BIGINT")
+    cooc = mirror(pairs) if mirrored else pairs
+    whole = {(r["row"], r["col"]): r["pmi"] for r in P.pmi(mirror(pairs), symmetric=True).collect()}
+    found = {(r["row"], r["col"]): r["pmi"] for r in P.pmi(cooc, symmetric=True, mirrored=mirrored, once=True).collect()}
+    assert found == pytest.approx({k: v for k, v in whole.items() if k[0] <= k[1]}) and len(found) == 4
+    metrics = RunMetrics()
+    pmi_cells(cooc, TrainParams(pmi_cutoff=None, pmi_shift=None), True, metrics, mirrored, once=True).collect()
+    assert metrics.values() == {"cells_kept": len(whole)}
+    with pytest.raises(ValueError, match="symmetric"):
+        P.pmi(cooc, once=True)
