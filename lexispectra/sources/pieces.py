@@ -22,6 +22,8 @@ SPLIT_BYTES = 64 * 1024 * 1024
 LINE_BYTES = 1024 * 1024
 _PROBE_BYTES = 64 * 1024
 _BATCH_BYTES = 4 * 1024 * 1024
+# Tasks that a corpus of many short ranges is dealt to; larger ones have one for each `SPLIT_BYTES`.
+_TASKS_PER_CORE = 4
 # Enough of an overlong word to truncate it by characters later.
 _WORD_HEAD = MAX_WORD_BYTES + 25
 # Names of files that Hadoop decompresses while reading, which cannot be cut by bytes.
@@ -134,7 +136,7 @@ def read_corpus_pieces(
     line gives it another ``line_id`` in the next: ``goes_on`` and ``opens`` mark such segments, ``cut`` the rows of all ranges that
     begin or end so, and a filter on ``cut`` leaves the other ranges unread. Empty files have no lines. Compressed files are refused.
 
-    A task holds one range, some ``split_bytes + line_bytes``. An overlong word is kept up to its head. A boundary inside a word is
+    A task holds one range at a time, some ``split_bytes + line_bytes``. An overlong word is kept up to its head. A boundary inside a word is
     looked for up to the word's end, so only a word longer than many ranges is read more than twice.
     """
     if split_bytes < 1 or line_bytes < 1:
@@ -151,7 +153,8 @@ def read_corpus_pieces(
     step = F.lit(split_bytes).cast("bigint")
     starts = F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, step)).alias("k", "start")
     total = sum(r[2] for r in rows)
-    tasks = max(1, min(first, max(-(-total // split_bytes), spark.sparkContext.defaultParallelism)))
+    # Short ranges share a task, one after the other.
+    tasks = max(1, min(first, max(-(-total // SPLIT_BYTES), _TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import naive
 from lexispectra.operators.cooccurrence import count_cooccurrence
@@ -105,3 +106,15 @@ def test_empty_corpus(spark, tmp_path, vocab):
     assert cells(count_cooccurrence(found, vocab(["a"]))) == {}
     with pytest.raises(ValueError, match="positive"):
         P.read_corpus_pieces(spark, str(tmp_path / "a.txt"), split_bytes=0)
+
+
+def test_short_ranges_share_tasks(spark, tmp_path, vocab):
+    texts = [f"a b c{i % 7} " * 30 for i in range(60)]
+    (tmp_path / "a.txt").write_text("\n".join(texts) + "\n")
+    lines = P.read_corpus_pieces(spark, str(tmp_path / "a.txt"), split_bytes=40, line_bytes=10)
+    ranges = lines.select(F.shiftright("line_id", 32)).distinct().count()
+    assert ranges > 200 and lines.rdd.getNumPartitions() <= 2 * P._TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    known = vocab(["a", "b", *(f"c{i}" for i in range(7))])
+    whole = spark.createDataFrame([(t,) for t in texts], "line STRING")
+    found = {(r["row"], r["col"]): r["val"] for r in count_cooccurrence(lines, known, 10).collect()}
+    assert found == pytest.approx({(r["row"], r["col"]): r["val"] for r in count_cooccurrence(whole, known, 10).collect()})
