@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexispectra.operators import svd as S
+from lexispectra.runtime import stage
 from lexispectra.sources import cooccurrence as C
 from lexispectra.sources.cooccurrence import (
     read_cooccurrence,
@@ -179,3 +181,36 @@ def test_staged_tables_can_be_dropped(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "other"))
     runtime.drop_staged(spark.read.parquet(str(tmp_path / "other")))
     assert spark.read.parquet(str(tmp_path / "other")).count() == 3
+
+
+def test_pairs_once_are_staged_once_and_written_both_ways(spark, tmp_path, monkeypatch):
+    staged = []
+    monkeypatch.setattr(C, "stage", lambda df, name: staged.append(found := stage(df, name)) or found)
+    monkeypatch.setattr(C, "drop_staged", lambda df: None)
+    monkeypatch.setattr(C, "TASK_CELLS", 20)
+    pairs = [(i, j, i + j / 7) for i in range(1, 12) for j in range(i, 12, 2)]
+    table = spark.createDataFrame(pairs, CELLS)
+    write_cooccurrence_bin(table, str(tmp_path / "cooc"), once=True)
+    found = C.read_cooccurrence_records(spark, str(tmp_path / "cooc")).orderBy("position").drop("position").collect()
+    whole = {(i, j): 2 * v if i == j else v for i, j, v in pairs} | {(j, i): v for i, j, v in pairs if i != j}
+    assert [tuple(r) for r in found] == [(*k, v) for k, v in sorted(whole.items())]
+    assert [s.count() for s in staged] == [len(pairs)]
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "DOUBLE", "DECIMAL(36,18)"])
+def test_rows_of_packed_cells(spark, monkeypatch, kind):
+    monkeypatch.setattr(C, "TASK_CELLS", 30)
+    monkeypatch.setattr(C, "CUT_POINTS", 30)
+    monkeypatch.setattr(S, "ROW_PIECE", 4)
+    cells = {(r, c): r * 100 + c for r in range(1, 30) for c in range(1, 15) if (r + c) % 3}
+    table = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row INT, col INT, val INT")
+    made = S.sparse_rows(table.repartition(5).withColumn("val", F.col("val").cast(kind)), "val")
+    found = made.collect()
+    assert made.schema["vals"].dataType.simpleString().upper() == f"ARRAY<{kind}>"
+    expected = {}
+    for (r, c), v in sorted(cells.items()):
+        expected.setdefault((r, (c - 1) // 4), []).append((c, v))
+    assert {(r["row"], r["piece"]): list(zip(r["cols"], map(int, r["vals"]))) for r in found} == expected
+    assert len(found) == len(expected)
+    packed = "places" in made._jdf.queryExecution().executedPlan().toString()
+    assert packed == ("DECIMAL" not in kind)
